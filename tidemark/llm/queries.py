@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, simhash, token_binary, toxicity
+from . import byte_bpe, chat, html_extract, media, packing, quality, secret_scan, simhash, token_binary, toxicity
+from .common import stored
 
+MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE, BYTE_BPE_IDS, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 50_257, 2
 
 
@@ -17,11 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_binary.write_token_file(table(spark, sf_dir, "documents"), BYTE_BPE, END_ID, BYTE_BPE_IDS)
     return token_binary.read_token_file(spark, path, BYTE_BPE_IDS, with_ids=False)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), MULTI_RANKS)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,6 +42,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(stored(media.encode_media(table(spark, sf_dir, "documents")), "media"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(stored(chat.format_conversations(conversations.unionByName(more)), "chat"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +69,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_binary, op4_simhash, op5_quality, op8_toxicity, op9_packing, op10_secrets)
+    f.__name__: f for f in (op1_html, op2_token_binary, op3_byte_bpe, op4_simhash, op5_quality, op6_media, op7_chat, op8_toxicity, op9_packing, op10_secrets)
 }
 
 #: By query, DuckDB SQL for the same rows. The operators rest on tokenizers, XXH64, EM, compression and

@@ -6,44 +6,19 @@ reach it through Spark's own readers and writers only, so any store Spark suppor
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a Python worker holds, apart from a single longer row.
-STEP_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared working folder; a local temporary one only for a local master without the setting."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        made = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
-    return spark.conf.get("spark.sql.warehouse.dir")
+from tidemark.sources.shared import shared_dir, stored
 
+__all__ = ["append", "fresh", "map_texts", "shared_dir", "steps", "stored", "texts_only"]
 
-def stored(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
-
-    This cuts the lineage: an executor that is lost afterwards costs no recomputation. The files go
-    when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one step of a Python worker holds, apart from a single longer row.
+STEP_BYTES = 2 << 20
 
 
 def texts_only(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,9 @@ that all below it share, an inner node those of its whole group. Two nodes are c
 that both have settled; only bits settled since their parents are added, and a pair of groups goes as
 soon as the differences so far exceed the limit. What is left at the leaves is compared exactly.
 
+Longer fingerprints, for near copies by estimated similarity, are dealt by random subsets of their bits
+instead, as many as give the recall asked for; the index and all that follows are the same.
+
 A shard answers with a forest, one row at most for each of its fingerprints, not with its pairs, and
 groups in which all is linked already are skipped. Forests of all shards meet in a distributed
 connected-components loop. A band value that more than HOT_SHARD distinct fingerprints share is dealt
@@ -80,6 +83,15 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def gray_ranks(fps: np.ndarray) -> np.ndarray:
+    """Gray ranks of fingerprints of several words, most significant first: a word's rank turns over when
+    the bits before it are odd in number."""
+    ranks = gray_rank(fps)
+    odd = np.cumsum(np.bitwise_count(fps), axis=1, dtype=np.int64)[:, :-1] & 1
+    ranks[:, 1:] ^= np.where(odd.astype(bool), ~np.uint64(0), np.uint64(0))
+    return ranks
+
+
 def _root(parent: np.ndarray) -> np.ndarray:
     while not np.array_equal(up := parent[parent], parent):
         parent = up
@@ -99,14 +111,15 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index over distinct fingerprints of one shard.
+    """Hierarchical index over distinct fingerprints of one task, of one or more 64-bit words.
 
-    ``shard`` numbers the band value of each entry: only equal ones are compared, as other pairs meet
-    in another shard. It forms the head of the sort key, so a group of the tree mostly has one.
+    ``shard`` numbers the shard of each entry: only equal ones are compared, as other pairs meet in another
+    shard. It forms the head of the sort key, so a group of the tree mostly has one.
     """
 
     def __init__(self, fps: np.ndarray, shard: np.ndarray):
-        self.order = np.lexsort((gray_rank(fps), shard))
+        fps = fps.reshape(len(shard), -1)
+        self.order = np.lexsort((*gray_ranks(fps).T[::-1], shard))
         self.fps, self.shard = fps[self.order], shard[self.order]
         self.levels = []
         a = o = self.fps
@@ -123,42 +136,45 @@ class GrayIndex:
 
     def components(self, limit: int = LINK_BITS) -> np.ndarray:
         """For every entry as given, the entry that stands for its component."""
-        n = len(self.fps)
+        n, words = self.fps.shape
         parent = np.arange(n)
         top = len(self.levels) - 1
+        leaves = np.arange(0, n, LEAF)
         i, j = np.triu_indices(len(self.levels[top][0]))
-        stack = [(top, i, j, np.zeros(len(i), np.int64), np.zeros(len(i), np.uint64))]
+        stack = [(top, i, j, np.zeros(len(i), np.int64), np.zeros((len(i), words), np.uint64))]
         while stack:
             level, i, j, spent, settled = stack.pop()
             if len(i) > FRONTIER:
                 stack += [(level, i[k : k + FRONTIER], j[k : k + FRONTIER], spent[k : k + FRONTIER], settled[k : k + FRONTIER]) for k in range(0, len(i), FRONTIER)]
                 continue
             shared, values, low, high = self.levels[level]
+            near = (low[i] <= high[j]) & (low[j] <= high[i])
+            i, j, spent, settled = i[near], j[near], spent[near], settled[near]
             both = shared[i] & shared[j]
-            spent = spent + np.bitwise_count((values[i] ^ values[j]) & both & ~settled)
-            keep = (spent <= limit) & (low[i] <= high[j]) & (low[j] <= high[i])
+            spent = spent + np.bitwise_count((values[i] ^ values[j]) & both & ~settled).sum(1, dtype=np.int64)
+            keep = spent <= limit
+            if not level:  # groups that are wholly one component have nothing to add
+                least, most = np.minimum.reduceat(parent, leaves), np.maximum.reduceat(parent, leaves)
+                keep &= ~((least[i] == most[i]) & (least[j] == most[j]) & (least[i] == least[j]))
             i, j, spent, both = i[keep], j[keep], spent[keep], both[keep]
             if not len(i):
                 continue
             width, below = (LEAF, n) if not level else (FANOUT, len(self.levels[level - 1][0]))
-            if not level:  # groups that are wholly one component have nothing to add
-                at = np.arange(0, n, LEAF)
-                least, most = np.minimum.reduceat(parent, at), np.maximum.reduceat(parent, at)
-                keep = ~((least[i] == most[i]) & (least[j] == most[j]) & (least[i] == least[j]))
-                i, j, spent, both = i[keep], j[keep], spent[keep], both[keep]
-            step = max(1, FRONTIER // 4)
+            step = max(1, FRONTIER // (8 * words))
             for k in range(0, len(i), step):
                 x = (i[k : k + step, None] * width + np.arange(width))[:, :, None]
                 y = (j[k : k + step, None] * width + np.arange(width))[:, None, :]
                 ok = (x < below) & (y < below) & ((x < y) if not level else (x <= y))
                 x, y = np.broadcast_arrays(x, y)
-                pair = np.nonzero(ok)
+                pair = np.nonzero(ok)[0]
                 x, y = x[ok], y[ok]
                 if level:
-                    stack.append((level - 1, x, y, spent[k : k + step][pair[0]], both[k : k + step][pair[0]]))
-                else:
-                    near = (self.shard[x] == self.shard[y]) & (np.bitwise_count(self.fps[x] ^ self.fps[y]) <= limit)
-                    parent = _union(parent, x[near], y[near])
+                    stack.append((level - 1, x, y, spent[k : k + step][pair], both[k : k + step][pair]))
+                    continue
+                same = self.shard[x] == self.shard[y]
+                x, y = x[same], y[same]
+                near = np.bitwise_count(self.fps[x] ^ self.fps[y]).sum(1, dtype=np.int64) <= limit
+                parent = _union(parent, x[near], y[near])
         out = np.empty(n, np.int64)
         out[self.order] = self.order[parent]
         return out
@@ -198,28 +214,33 @@ def _sharded(distinct: DataFrame) -> DataFrame:
     )
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between representatives, one at most for each entry of the task's shards."""
-    batches = list(batches)
-    if sum(b.num_rows for b in batches) < 2:
-        return
-    table = pa.Table.from_batches(batches)
-    shard, fp, rep = (table.column(i).to_numpy() for i in range(3))
-    up = GrayIndex(fp.view(np.uint64), shard).components()
-    linked = np.flatnonzero(up != np.arange(len(up)))
-    for k in range(0, len(linked), 1 << 16):
-        part = linked[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(rep[part]), pa.array(rep[up[part]])], names=["a", "b"])
+def _forest(limit: int):
+    """From a task's (shard, rep, words of the fingerprint) to links (a, b), one at most for each entry."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if sum(b.num_rows for b in batches) < 2:
+            return
+        table = pa.Table.from_batches(batches)
+        shard, rep, *words = (c.to_numpy() for c in table.columns)
+        up = GrayIndex(np.stack(words, 1).view(np.uint64), shard).components(limit)
+        linked = np.flatnonzero(up != np.arange(len(up)))
+        for k in range(0, len(linked), 1 << 16):
+            part = linked[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[part]), pa.array(rep[up[part]])], names=["a", "b"])
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives that span exactly the components of the link relation.
+    return run
 
-    The shards are dealt by hash into so many tasks that one has about TASK_ENTRIES entries, 24 bytes each.
-    """
-    tasks = (LINK_BITS + 1) * distinct.count() // TASK_ENTRIES
-    tasks = max(tasks, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return _sharded(distinct).repartition(tasks, "shard").mapInArrow(_forest, "a long, b long")
+
+def _dealt(sharded: DataFrame, entries: int, limit: int) -> DataFrame:
+    """Links of a sharded table, dealt by shard to tasks of about TASK_ENTRIES entries each."""
+    tasks = max(entries // TASK_ENTRIES, int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sharded.repartition(tasks, "shard").mapInArrow(_forest(limit), "a long, b long")
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) between representatives that span exactly the components of the link relation."""
+    return _dealt(_sharded(distinct).select("shard", "rep", "fp"), (LINK_BITS + 1) * distinct.count(), LINK_BITS)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -260,15 +281,102 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return made.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component of ``docs``, that of the smallest doc_id, and all rows without a doc_id."""
-    name = fresh(docs, "fp")
+# --- near copies by estimated similarity ------------------------------------------------------------
+
+#: Five-word shingles and a fingerprint of four words.
+COPY_SHINGLE, COPY_WORDS, SIMILARITY = 5, 4, 0.8
+#: Of pairs just at the limit, the share that must meet in a shard.
+RECALL = 0.95
+
+
+def copy_bits(similarity: float = SIMILARITY, bits: int = 64 * COPY_WORDS) -> int:
+    """Bits in which texts of a similarity differ, one standard deviation above the mean, so that most pairs
+    at the limit link. With J the share of shingles in common, the angle of the texts is acos(2J / (1 + J))."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+
+
+def wide_fingerprint(text: str, shingle: int = COPY_SHINGLE, words: int = COPY_WORDS) -> list[int]:
+    """SimHash of several 64-bit words, by XXH3-128 under as many seeds as it takes."""
+    from xxhash import xxh3_128_digest
+
+    own = text.encode().lower().split()
+    if not own:
+        return [0] * words
+    joined = b" ".join(own)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+    n = max(1, len(own) - shingle + 1)
+    begins = [0, *ends[: n - 1].tolist()]
+    lasts = (ends - 1)[shingle - 1 :].tolist() or [len(joined)]
+    bits = np.zeros(64 * words, np.int64)
+    for i in range(0, n, 1 << 13):
+        parts = [joined[a:b] for a, b in zip(begins[i : i + (1 << 13)], lasts[i : i + (1 << 13)], strict=True)]
+        for k in range(0, words, 2):
+            raw = np.frombuffer(b"".join([xxh3_128_digest(p, k) for p in parts]), np.uint8).reshape(-1, 16)
+            bits[64 * k : 64 * k + 128] += np.unpackbits(raw, axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * bits > n).view(">i8").tolist()
+
+
+def bands(entries: int, limit: int, words: int = COPY_WORDS, recall: float = RECALL) -> list[list[int]]:
+    """Masks over the words: each of about log2(entries / 64) bits, drawn by a fixed seed, and as many as
+    make pairs at the limit share one with the chance asked for."""
+    total = 64 * words
+    width = min(total // 4, max(8, int(np.ceil(np.log2(max(entries, 1) / 64 + 1)))))
+    meet = (1 - limit / total) ** width
+    rng = np.random.default_rng(42)
+    out = []
+    for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))):
+        flags = np.zeros(total, np.uint8)
+        flags[rng.choice(total, width, replace=False)] = 1
+        out.append(np.packbits(flags).view(">i8").tolist())
+    return out
+
+
+def copy_links(distinct: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between representatives of a table (rep, fp0, fp1, ...), at the distance that the similarity means.
+
+    Bands are so narrow that a shard has about 64 entries, and so many that RECALL of the pairs at the limit
+    and nearly all closer ones meet. A shard of more than HOT_SHARD entries is dealt out by all bands again.
+    """
+    limit, names, entries = copy_bits(similarity, 64 * words), [f"fp{i}" for i in range(words)], distinct.count()
+    masks = bands(entries, limit, words)
+
+    def shards(*before):
+        return F.explode(F.array(*[F.xxhash64(*before, F.lit(i), *(F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(names, mask, strict=True))) for i, mask in enumerate(masks)]))
+
+    first = distinct.select("rep", *names, shards().alias("shard"))
+    hot = stored(first.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHARD).select("shard"), "hot")
+    if hot.isEmpty():
+        return _dealt(first.select("shard", "rep", *names), len(masks) * entries, limit)
+    # Each hot shard has over HOT_SHARD of the len(masks) * entries rows, so their list is short.
+    again = first.join(F.broadcast(hot), "shard", "left_semi").select("rep", *names, shards("shard").alias("shard"))
+    return _dealt(first.join(F.broadcast(hot), "shard", "left_anti").select("shard", "rep", *names).unionByName(again.select("shard", "rep", *names)), len(masks) * entries, limit)
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies in ``docs``, that of the smallest doc_id, and all rows without a doc_id.
+
+    Near copies are texts whose five-word shingles are as similar as ``similarity`` by the estimate of a
+    256-bit fingerprint, whose standard error is about 0.05 of the share in common; groups are their
+    components.
+    """
+    names = []
+    for i in range(COPY_WORDS):
+        names.append(fresh(docs, f"fp{i}"))
 
     def make():
-        return lambda keys, texts: {name: np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
+        def work(keys, texts):
+            made = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, COPY_WORDS)
+            return {name: made[:, i] for i, name in enumerate(names)}
+
+        return work
 
-    made = stored(append(docs, make, {name: "long"}), "fingerprints")
-    found = classes(made.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("fp")))
-    first = found.where("rep = component_id").select(F.col("rep").alias("doc_id"), F.col("fp").alias(name))
-    kept = made.where("doc_id is not null").join(first, ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    made = stored(append(docs, make, dict.fromkeys(names, "long")), "fingerprints")
+    own = [f"fp{i}" for i in range(COPY_WORDS)]
+    known = made.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(n).alias(c) for n, c in zip(names, own, strict=True)))
+    distinct = stored(known.groupBy(*own).agg(F.min("doc_id").alias("rep")), "distinct")
+    label = connected(copy_links(distinct, similarity=similarity))
+    others = label.where("node <> label").select(F.col("node").alias("rep"))
+    first = distinct.join(others, "rep", "left_anti").select(F.col("rep").alias("doc_id"), *(F.col(c).alias(n) for n, c in zip(names, own, strict=True)))
+    kept = made.where("doc_id is not null").join(first, ["doc_id", *names], "left_semi").dropDuplicates(["doc_id", *names])
     return kept.unionByName(made.where("doc_id is null")).select(*docs.columns)

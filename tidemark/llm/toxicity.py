@@ -67,11 +67,16 @@ class Distance:
                 self.seen[word] = saved
         return saved
 
-    def features(self, text: str) -> tuple[float, float]:
-        """Savings beyond two bytes by distinct word, and the largest saving."""
+    def features(self, text: str) -> tuple[float, ...]:
+        """Over the distinct words: savings beyond two bytes as a share, the largest, how many save five bytes
+        or more as a share and as a count, and how many words there are; each of the order of one."""
         own = set(words(text))
         saved = [*map(self, own)]
-        return sum(s - 2 for s in saved if s > 2) / (20 + len(own)) * 10, max(saved, default=0) / 5
+        strong = sum(s >= 5 for s in saved)
+        return (
+            sum(s - 2 for s in saved if s > 2) / (20 + len(own)) * 10, max(saved, default=0) / 5,
+            strong / (20 + len(own)) * 50, strong**0.5, np.log1p(len(own)) / 5,
+        )
 
 
 def _contexts(texts: list[str]) -> Counter:
@@ -154,7 +159,7 @@ def scorer(model: dict):
     def score(texts: list[str]) -> np.ndarray:
         if weights is None:
             return np.zeros(len(texts))
-        x = np.array([(*distance.features(t), 1.0) for t in texts]).reshape(-1, 3)
+        x = np.array([(*distance.features(t), 1.0) for t in texts]).reshape(-1, len(weights))
         return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
 
     return score

@@ -161,3 +161,21 @@ def test_candidates_by_level(spark):
     asked = spark.createDataFrame([(b"d",), (b"g",), (b"zz",)], "key binary")
     got = {(bytes(r.key), r.level, r.file_num) for r in files.candidates(asked, table).collect()}
     assert got == {(b"d", 0, 1), (b"d", 0, 2), (b"d", 1, 3), (b"g", 0, 1), (b"g", 0, 2)}
+
+
+def test_directory_of_binary_files_round_trips(spark, tmp_path):
+    data = [(f"k{i:03d}".encode(), i + 1, 1 + (i % 7 == 0), None if i % 7 == 0 else b"v" * (i % 30)) for i in range(200)]
+    df = spark.createDataFrame(data, "key binary, seq long, op int, value binary")
+    path = str(tmp_path / "dir")
+    n = binary.write_directory(df, path, Options(target_file_size=1024, block_size=128))
+    assert n > 3
+    (tmp_path / "dir/000900.sst").write_bytes(codec.encode_table([codec.Mutation(b"orphan", 1, 1, b"x")]))
+    (tmp_path / "dir/000901.log").write_bytes(codec.encode_frame(codec.Mutation(b"k001", 999, 2, None)) + b"\x01")
+    found, logs = binary.read_directory(spark, path)
+    store = Store(spark, str(tmp_path / "store"))
+    store.import_mutations(found)
+    want = {k: v for k, _, op, v in data if op == 1 and k != b"k001"}
+    assert {bytes(r.key): bytes(r.value) for r in store.live().collect()} == want
+    assert [r.truncated_bytes for r in logs.collect()] == [1]
+    empty, none = binary.read_directory(spark, str(tmp_path / "nothing"))
+    assert empty.count() == none.count() == 0

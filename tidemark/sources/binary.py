@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 from tidemark.errors import CorruptLog
 from tidemark.functions import codec
 from tidemark.functions.codec import Mutation
+from tidemark.operators.files import record_size
+from tidemark.options import Options
+from tidemark.schema import MUTATION
+from tidemark.sources import manifest
 
 _MUTATION = [("key", pa.binary()), ("seq", pa.int64()), ("op", pa.int8()), ("value", pa.binary())]
 _MUTATION_DDL = "key binary, seq long, op byte, value binary"
 ROWS = 8192
 
 
-def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str], suffix: str) -> DataFrame:
     """(file_num, content) of files whose name is a number and a suffix; other names are passed over."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path)
     num = F.regexp_extract("path", rf"(\d+)\.{suffix}$", 1)
@@ -37,7 +41,7 @@ def _split(rows: list[tuple], fields: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _out([*map(list, zip(*rows[i : i + ROWS], strict=True))], fields)
 
 
-def log_frames(spark: SparkSession, path: str) -> DataFrame:
+def log_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every frame of the logs ``NNNNNN.log`` in a folder: place, checksum, status (ok, torn, bad) and mutation."""
     fields = [("file_num", pa.int64()), ("offset", pa.int64()), ("frame_len", pa.int64()), ("crc", pa.int64()), ("status", pa.string()), *_MUTATION]
 
@@ -50,7 +54,7 @@ def log_frames(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "log").mapInArrow(parse, f"file_num long, offset long, frame_len long, crc long, status string, {_MUTATION_DDL}")
 
 
-def logs(spark: SparkSession, path: str) -> DataFrame:
+def logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row a log: file_num, size, good bytes, truncated_bytes, and whether it is corrupt."""
     fields = [("file_num", pa.int64()), ("size", pa.int64()), ("good", pa.int64()), ("truncated_bytes", pa.int64()), ("corrupt", pa.bool_())]
 
@@ -63,7 +67,7 @@ def logs(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "log").mapInArrow(parse, "file_num long, size long, good long, truncated_bytes long, corrupt boolean")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Mutations of all logs in a folder, up to each log's torn tail; raises :class:`CorruptLog` on bytes that
     are bad before valid frames. Files are left as they are."""
     corrupt = [r.file_num for r in logs(spark, path).where("corrupt").select("file_num").take(1)]
@@ -72,7 +76,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return log_frames(spark, path).where("status = 'ok'").select("key", "seq", "op", "value")
 
 
-def read_tables(spark: SparkSession, path: str) -> DataFrame:
+def read_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file_num and mutations of the sorted tables ``NNNNNN.sst`` in a folder, in file order within each."""
     fields = [("file_num", pa.int64()), *_MUTATION]
 
@@ -84,7 +88,7 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "sst").mapInArrow(parse, f"file_num long, {_MUTATION_DDL}")
 
 
-def table_meta(spark: SparkSession, path: str) -> DataFrame:
+def table_meta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file_num, size, min_key, max_key, num_entries, blocks and filter bytes of sorted tables, keys from the data."""
     fields = [("file_num", pa.int64()), ("size", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary()), ("num_entries", pa.int64()), ("blocks", pa.int64()), ("bloom", pa.binary())]
 
@@ -155,3 +159,43 @@ def write_files(encoded: DataFrame, path: str, suffix: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     return encoded.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The mutations of a directory of binary files, and its logs as :func:`logs` has them.
+
+    The manifest names the live tables and the logs that are done with; other tables are orphans of writes
+    that were cut off. Nothing in the directory is changed.
+    """
+    files = manifest.Files(spark, path)
+    state = manifest.load(files)
+    done = set(state["obsolete_wal_nums"] or [])
+    tables = [f"{path}/{f['file_num']:06d}.sst" for level in state["levels"] for f in level]
+    names = [n for n in files.names() if n.endswith(".log") and n[:-4].isdigit() and int(n[:-4]) not in done]
+    found = spark.createDataFrame([], MUTATION)
+    if tables:
+        found = found.unionByName(read_tables(spark, tables).drop("file_num"))
+    if not names:
+        return found, spark.createDataFrame([], "file_num long, size long, good long, truncated_bytes long, corrupt boolean")
+    paths = [f"{path}/{n}" for n in names]
+    return found.unionByName(read_logs(spark, paths)), logs(spark, paths)
+
+
+def write_directory(mutations: DataFrame, path: str, options: Options | None = None) -> int:
+    """Write the newest versions as binary tables of level 1 with their manifest; returns the number of tables.
+
+    Tombstones go, as nothing lies below. Tables are ranges of keys of about ``target_file_size``.
+    """
+    from tidemark.operators.merge import drop_tombstones, latest
+
+    spark, options = mutations.sparkSession, options or Options()
+    rows = drop_tombstones(latest(mutations)).withColumn("size", record_size())
+    total, last = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.max("seq")).first()
+    dealt = rows.repartitionByRange(max(1, -(-total // options.target_file_size)), "key").withColumn("file_num", (F.spark_partition_id() + 1).cast("long"))
+    write_files(encode_tables(dealt, block_size=options.block_size, bits_per_key=options.bloom_bits_per_key), path, "sst")
+    files = manifest.Files(spark, path)
+    made = table_meta(spark, path).collect() if any(n.endswith(".sst") for n in files.names()) else []
+    level = [{"file_num": r.file_num, "level": 1, "size": r["size"], "min_key": bytes(r.min_key), "max_key": bytes(r.max_key), "num_entries": r.num_entries} for r in sorted(made, key=lambda r: bytes(r.min_key))]
+    state = manifest.empty() | {"next_file_num": max([0, *(f["file_num"] for f in level)]) + 1, "last_seq": last or 0}
+    manifest.publish(files, state | {"levels": [[], level] + [[] for _ in range(options.max_levels - 2)]})
+    return len(level)

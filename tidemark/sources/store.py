@@ -165,7 +165,8 @@ class Store:
         # A flush is one file of level 0, in as many parts as its size asks for.
         dealt = sized.repartitionByRange(units, "key") if level else sized.repartitionByRange("key")
         dealt = dealt.sortWithinPartitions("key").withColumn("unit", F.spark_partition_id() if level else F.lit(0))
-        dealt.write.partitionBy("unit").parquet(f"{self.path}/data/{num:06d}")
+        bloom = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.fpp#key": f"{0.6185**self.options.bloom_bits_per_key:.6f}"}
+        dealt.write.options(**bloom).partitionBy("unit").parquet(f"{self.path}/data/{num:06d}")
         if not self.files.names(f"data/{num:06d}") or all(not n.startswith("unit=") for n in self.files.names(f"data/{num:06d}")):
             return []
         found = self.spark.read.parquet(f"{self.path}/data/{num:06d}")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from test_functions import components, slow_base, slow_copy_fingerprint, slow_counts, slow_fingerprint
+from test_llm_functions import components, slow_base, slow_copy_fingerprint, slow_counts, slow_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline

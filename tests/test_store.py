@@ -179,3 +179,13 @@ def test_directory_of_binary_files_round_trips(spark, tmp_path):
     assert [r.truncated_bytes for r in logs.collect()] == [1]
     empty, none = binary.read_directory(spark, str(tmp_path / "nothing"))
     assert empty.count() == none.count() == 0
+
+
+def test_a_full_log_is_flushed(spark, tmp_path):
+    store = Store(spark, str(tmp_path), Options(memtable_size=100))
+    store.put(rows(spark, [("a", "x" * 20)]))
+    assert not store.flush_if_full() and store.manifest["log_bytes"] == 38
+    store.put(rows(spark, [("b", "x" * 80)]))
+    assert store.flush_if_full() and store.manifest["log_bytes"] == 0
+    assert not store.flush_if_full()
+    assert store.live().count() == 2

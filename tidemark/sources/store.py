@@ -94,9 +94,10 @@ class Store:
         try:
             batch.select(guard.alias("key"), F.col("op").cast("byte").alias("op"), value.alias("value"), F.spark_partition_id().alias("part"), place.alias("place")).write.mode("overwrite").parquet(staged_at)
             staged = self.spark.read.parquet(staged_at)
-            counts = {r.part: (r.n, r.puts) for r in staged.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("op") == PUT).alias("puts")).collect()}
+            by_part = staged.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("op") == PUT).alias("puts"), F.sum(fileops.record_size()).alias("size"))
+            counts = {r.part: (r.n, r.puts, r["size"]) for r in by_part.collect()}
             base, starts = self.manifest["last_seq"] + 1, []
-            for part, (n, _) in sorted(counts.items()):
+            for part, (n, _, _) in sorted(counts.items()):
                 starts.append((part, base))
                 base += n
             if not starts:
@@ -112,8 +113,8 @@ class Store:
         finally:
             self.files.delete(f"log/{staged_at.rsplit('/', 1)[1]}")
         streams = self.manifest["streams"] | ({stream[0]: stream[1]} if stream else {})
-        self._publish(last_seq=base - 1, log=[*self.manifest["log"], num], streams=streams)
-        total, puts = (sum(x[i] for x in counts.values()) for i in (0, 1))
+        total, puts, size = (sum(x[i] for x in counts.values()) for i in range(3))
+        self._publish(last_seq=base - 1, log=[*self.manifest["log"], num], log_bytes=self.manifest["log_bytes"] + size, streams=streams)
         self.counters["puts"] += puts
         self.counters["deletes"] += total - puts
         return total
@@ -135,8 +136,8 @@ class Store:
         self._open()
         num = self._number()
         mutations.select(*(F.col(f.name).cast(f.dataType) for f in MUTATION)).write.parquet(f"{self.path}/log/{num:06d}")
-        last = self._read([f"{self.path}/log/{num:06d}"]).agg(F.max("seq")).first()[0] or 0
-        self._publish(last_seq=max(self.manifest["last_seq"], last), log=[*self.manifest["log"], num])
+        last, size = self._read([f"{self.path}/log/{num:06d}"]).agg(F.max("seq"), F.sum(fileops.record_size())).first()
+        self._publish(last_seq=max(self.manifest["last_seq"], last or 0), log=[*self.manifest["log"], num], log_bytes=self.manifest["log_bytes"] + (size or 0))
 
     # --- reads ---
 
@@ -186,10 +187,15 @@ class Store:
         levels = [list(x) for x in self.manifest["levels"]]
         levels[0] += entries
         obsolete = self.manifest["log"]
-        self._publish(levels=levels, log=[], obsolete_wal_nums=[*self.manifest["obsolete_wal_nums"], *obsolete])
+        self._publish(levels=levels, log=[], log_bytes=0, obsolete_wal_nums=[*self.manifest["obsolete_wal_nums"], *obsolete])
         self.counters["flushes"] += 1
         return True
 
+    def flush_if_full(self) -> bool:
+        """Flush once the log holds ``memtable_size`` bytes of records; streaming ingest asks after each batch."""
+        self._open()
+        return self.manifest["log_bytes"] >= self.options.memtable_size and self.flush()
+
     def compact_once(self, job: tuple[int, list[dict], list[dict]] | None = None) -> bool:
         """Run the most urgent compaction, or the given one; False if there is none."""
         self._open()

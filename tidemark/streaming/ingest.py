@@ -22,6 +22,7 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, name: str = "ingest
 
     def write(batch: DataFrame, batch_id: int) -> None:
         store.append(batch, stream=(name, batch_id))
+        store.flush_if_full()
         if compact_every and (batch_id + 1) % compact_every == 0:
             store.compact_all()
 

@@ -136,10 +136,12 @@ def token_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=vocabulary) if len(ids.as_buffer()) > 4 * vocabulary else 0
-            small = b"".join(x.as_py() for x in batch.column(0) if len(x.as_buffer()) <= 4 * vocabulary)
-            total += np.bincount(np.frombuffer(small, dtype), minlength=vocabulary)
+            # All ids of the batch lie side by side in the column's buffer.
+            ids, size = batch.column(0), 8 if pa.types.is_large_binary(batch.column(0).type) else 4
+            if not len(ids):
+                continue
+            ends = np.frombuffer(ids.buffers()[1], f"<i{size}")[ids.offset : ids.offset + len(ids) + 1]
+            total += np.bincount(np.frombuffer(ids.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(dtype), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -205,7 +207,7 @@ def read_token_file(spark: SparkSession, path: str, vocabulary: int, *, with_ids
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = decode_block(row["payload"], row["checkpoints"], row["n_ids"], table).astype("<u4").tobytes()
+                ids = memoryview(decode_block(row["payload"], row["checkpoints"], row["n_ids"], table).astype("<u4", copy=False)).cast("B")
                 ends = np.cumsum(row["doc_lens"])
                 begins = ends - row["doc_lens"]
                 for i in range(0, len(ends), 1024):
@@ -214,7 +216,7 @@ def read_token_file(spark: SparkSession, path: str, vocabulary: int, *, with_ids
                     made = [np.full(len(a), row["part"]), row["doc_ids"][i : i + 1024], a + row["start"], b - a, [*map(zlib.crc32, cut)]]
                     kinds, names = [pa.int32(), *[pa.int64()] * 4], ["part", "doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
-                        made, kinds, names = [*made, cut], [*kinds, pa.binary()], [*names, "ids"]
+                        made, kinds, names = [*made, [*map(bytes, cut)]], [*kinds, pa.binary()], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], names=names)
 
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")

@@ -81,6 +81,8 @@ class WordEncoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of a part with the space before it."""
+        if part.isascii() and part.isalpha():
+            return array(self.code, [t.id for t in self.merge(self.space + part)]).tobytes()
         if not (found := _WORD.fullmatch(part)):
             return self._whole(" " + part)
         stem, mark = found.groups()

@@ -7,8 +7,8 @@ that all below it share, an inner node those of its whole group. Two nodes are c
 that both have settled; only bits settled since their parents are added, and a pair of groups goes as
 soon as the differences so far exceed the limit. What is left at the leaves is compared exactly.
 
-Longer fingerprints, for near copies by estimated similarity, are dealt by random subsets of their bits
-instead, as many as give the recall asked for; the index and all that follows are the same.
+Near copies by similarity are another matter: candidates are sets of shingles that share a MinHash band,
+and each link between them is confirmed by the exact Jaccard similarity of the texts' shingles.
 
 A shard answers with a forest, one row at most for each of its fingerprints, not with its pairs, and
 groups in which all is linked already are skipped. Forests of all shards meet in a distributed
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return made.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# --- near copies by estimated similarity ------------------------------------------------------------
+# --- near copies by shingles in common --------------------------------------------------------------
 
 #: Five-word shingles and a fingerprint of four words.
 COPY_SHINGLE, COPY_WORDS, SIMILARITY = 5, 4, 0.8
@@ -332,51 +333,155 @@ def bands(entries: int, limit: int, words: int = COPY_WORDS, recall: float = REC
     return out
 
 
-def copy_links(distinct: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between representatives of a table (rep, fp0, fp1, ...), at the distance that the similarity means.
+def shingle_set(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text as sorted XXH3 hashes of 64 bits: a repeated one counts once."""
+    from xxhash import xxh3_64_intdigest
 
-    Bands are so narrow that a shard has about 64 entries, and so many that RECALL of the pairs at the limit
-    and nearly all closer ones meet. A shard of more than HOT_SHARD entries is dealt out by all bands again.
+    own = text.encode().lower().split()
+    if not own:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(own)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+    n = max(1, len(own) - shingle + 1)
+    begins = [0, *ends[: n - 1].tolist()]
+    lasts = (ends - 1)[shingle - 1 :].tolist() or [len(joined)]
+    return np.unique(np.fromiter((xxh3_64_intdigest(joined[a:b]) for a, b in zip(begins, lasts, strict=True)), np.uint64, n))
+
+
+#: A pair of similarity J shares a band with the chance 1 - (1 - J ** COPY_ROWS) ** COPY_BANDS: all but
+#: 5 in 10 ** 8 of the pairs at 0.8. Neither number depends on the corpus.
+COPY_BANDS, COPY_ROWS, STAR = 32, 4, 2000
+
+
+@lru_cache(maxsize=1)
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(42).integers(0, 1 << 63, (2, COPY_BANDS * COPY_ROWS, 1), np.uint64)
+    return drawn[0] << np.uint64(1) | np.uint64(1), drawn[1] << np.uint64(1) | np.uint64(1)
+
+
+def signature(shingles: np.ndarray) -> tuple[int, int, list[int]]:
+    """128 bits that name the set as two signed longs, and the keys of its bands by MinHash."""
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
+    name = np.frombuffer(xxh3_128_digest(shingles.tobytes()), ">i8").tolist()
+    if not len(shingles):
+        return *name, []
+    a, b = _permutations()
+    least = np.full(len(a), ~np.uint64(0))
+    for i in range(0, len(shingles), 1 << 12):
+        mixed = shingles[i : i + (1 << 12)] * a
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= b
+        np.minimum(least, mixed.min(axis=1), out=least)
+    raw, width = least.tobytes(), 8 * COPY_ROWS
+    keys = [xxh3_64_intdigest(raw[k * width : (k + 1) * width], k) for k in range(COPY_BANDS)]
+    return *name, np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def exact_links(sets: list[np.ndarray], parent: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Components of sets by exact Jaccard similarity, and the links that join them.
+
+    ``parent`` gives the components known before. Sets outside the largest component are compared with all
+    others through the postings of their shingles, so every pair of different components is.
     """
-    limit, names, entries = copy_bits(similarity, 64 * words), [f"fp{i}" for i in range(words)], distinct.count()
-    masks = bands(entries, limit, words)
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), sizes)[order]
+    first = np.searchsorted(ids[order], np.arange(ids.max(initial=-1) + 2))
+    at, links, done = np.cumsum(sizes) - sizes, [], np.zeros(len(sets), bool)
+    while True:
+        counts = np.bincount(parent, minlength=len(sets))
+        left = np.flatnonzero((parent != counts.argmax()) & ~done)
+        if not len(left):
+            return parent, links
+        i = 0 if not done[0] else left[0]  # the first is the middle of a star
+        done[i] = True
+        own = ids[at[i] : at[i] + sizes[i]]
+        common = np.zeros(len(sets), np.int64)
+        for x in own.tolist():
+            common[holders[first[x] : first[x + 1]]] += 1
+        # Whole numbers, and room for the rounding of the product only.
+        near = np.flatnonzero((common >= similarity * (sizes + sizes[i] - common) - 1e-9) & (common > 0))
+        for j in near[parent[near] != parent[i]].tolist():
+            if parent[i] != parent[j]:
+                links.append((int(i), j))
+                parent = _union(parent, np.array([i]), np.array([j]))
+
+
+def _confirm(similarity: float):
+    """From a task's (key, rep, label, text), sorted by key, to links (a, b) of exact similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, members in itertools.groupby(rows, lambda row: row[0]):
+            reps, labels, sets = [], [], []
+            for _, rep, label, text in members:
+                reps.append(rep)
+                labels.append(label)
+                sets.append(shingle_set(text or ""))
+            _, at, inverse = np.unique(labels, return_index=True, return_inverse=True)
+            _, links = exact_links(sets, at[inverse], similarity)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([reps[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
-    def shards(*before):
-        return F.explode(F.array(*[F.xxhash64(*before, F.lit(i), *(F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(names, mask, strict=True))) for i, mask in enumerate(masks)]))
 
-    first = distinct.select("rep", *names, shards().alias("shard"))
-    hot = stored(first.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHARD).select("shard"), "hot")
-    if hot.isEmpty():
-        return _dealt(first.select("shard", "rep", *names), len(masks) * entries, limit)
-    # Each hot shard has over HOT_SHARD of the len(masks) * entries rows, so their list is short.
-    again = first.join(F.broadcast(hot), "shard", "left_semi").select("rep", *names, shards("shard").alias("shard"))
-    return _dealt(first.join(F.broadcast(hot), "shard", "left_anti").select("shard", "rep", *names).unionByName(again.select("shard", "rep", *names)), len(masks) * entries, limit)
+def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) of exact similarity that span the components of sets (rep, name0, name1, bands).
+
+    Sets that share a band are candidates. Each is compared first with the least of all that it shares
+    one with, in stars of STAR at most; the bands in which different components are left then are
+    compared whole, one of those with the same members. ``texts`` has (rep, name0, name1, text).
+    """
+
+    def confirmed(buckets: DataFrame) -> DataFrame:
+        told = buckets.join(distinct.select("rep", "name0", "name1"), "rep").join(texts, ["rep", "name0", "name1"]).select("key", "rep", "label", "text")
+        return told.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_confirm(similarity), "a long, b long")
+
+    entries = distinct.select("rep", F.explode("bands").alias("key"))
+    least = entries.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("z")).where("c < z").select("key", "c")
+    shared = stored(entries.join(least, "key"), "shared")
+    nearest = stored(shared.where("rep <> c").groupBy("rep").agg(F.min("c").alias("c")), "nearest")
+    parts = nearest.groupBy("c").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    spokes = nearest.join(parts, "c").select("c", F.expr("pmod(xxhash64(rep), parts)").alias("part"), "rep")
+    stars = spokes.unionByName(spokes.select("c", "part", F.col("c").alias("rep")).distinct())
+    links = stored(confirmed(stars.select(F.xxhash64("c", "part").alias("key"), "rep", F.col("rep").alias("label"))), "links")
+
+    label = connected(links)
+    held = shared.join(label, shared.rep == label.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    open_ = held.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("rep").alias("c"), F.max("rep").alias("rep"),
+        F.sum(F.xxhash64("rep") % (1 << 40)).alias("sum0"), F.sum(F.xxhash64("rep", F.lit(1)) % (1 << 40)).alias("sum1"),
+    ).where("low < high")
+    tried = nearest.select("c", "rep", F.lit(2).cast("long").alias("n"))
+    open_ = open_.groupBy("n", "c", "rep", "sum0", "sum1").agg(F.min("key").alias("key")).join(tried, ["c", "rep", "n"], "left_anti")
+    rest = stored(held.join(open_.select("key"), "key", "left_semi"), "rest")
+    return links.union(confirmed(rest)) if not rest.isEmpty() else links
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near copies in ``docs``, that of the smallest doc_id, and all rows without a doc_id.
 
-    Near copies are texts whose five-word shingles are as similar as ``similarity`` by the estimate of a
-    256-bit fingerprint, whose standard error is about 0.05 of the share in common; groups are their
-    components.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or
+    more, compared exactly; groups are their components.
     """
-    names = []
-    for i in range(COPY_WORDS):
-        names.append(fresh(docs, f"fp{i}"))
+    names = [fresh(docs, name) for name in ("name0", "name1", "bands")]
 
     def make():
         def work(keys, texts):
-            made = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, COPY_WORDS)
-            return {name: made[:, i] for i, name in enumerate(names)}
+            made = [signature(shingle_set(t)) for t in texts]
+            return {name: [m[i] for m in made] for i, name in enumerate(names)}
 
         return work
 
-    made = stored(append(docs, make, dict.fromkeys(names, "long")), "fingerprints")
-    own = [f"fp{i}" for i in range(COPY_WORDS)]
-    known = made.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(n).alias(c) for n, c in zip(names, own, strict=True)))
-    distinct = stored(known.groupBy(*own).agg(F.min("doc_id").alias("rep")), "distinct")
-    label = connected(copy_links(distinct, similarity=similarity))
+    made = stored(append(docs, make, dict(zip(names, ("long", "long", "array<long>"), strict=True))), "signatures")
+    own = [F.col(n).alias(c) for n, c in zip(names, ("name0", "name1", "bands"), strict=True)]
+    known = made.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text", *own)
+    distinct = stored(known.groupBy("name0", "name1").agg(F.min("rep").alias("rep"), F.first("bands").alias("bands")), "distinct")
+    label = connected(copy_links(distinct, known.select("rep", "name0", "name1", "text"), similarity))
     others = label.where("node <> label").select(F.col("node").alias("rep"))
-    first = distinct.join(others, "rep", "left_anti").select(F.col("rep").alias("doc_id"), *(F.col(c).alias(n) for n, c in zip(names, own, strict=True)))
-    kept = made.where("doc_id is not null").join(first, ["doc_id", *names], "left_semi").dropDuplicates(["doc_id", *names])
+    first = distinct.join(others, "rep", "left_anti").select(F.col("rep").alias("doc_id"), F.col("name0").alias(names[0]), F.col("name1").alias(names[1]))
+    kept = made.where("doc_id is not null").join(first, ["doc_id", *names[:2]], "left_semi").dropDuplicates(["doc_id", *names[:2]])
     return kept.unionByName(made.where("doc_id is null")).select(*docs.columns)

@@ -5,7 +5,8 @@ that stand in a sensitive context, after a word such as *auth*, *key* or *privat
 are compressed with zstandard behind the text around them, primed with a dictionary of identifiers as
 code and configuration use them, and what they add to the compressed length, against what they would
 take if every character were random, is their novelty. Names, paths and repeated values are explained
-by the dictionary or the surroundings; keys are not.
+by the dictionary or the surroundings; keys are not. A candidate may be of any length, and what adjoins one
+that is looked at, with only line breaks or dots between, is looked at as well: lines of a key, parts of a token.
 
 Spans are in code points, end exclusive. Rows: a null or empty text has none; repeated rows have equal
 spans.
@@ -14,6 +15,7 @@ spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -31,8 +33,13 @@ _SENSITIVE = re.compile(
     r"(?:auth|bearer|credential|passphrase|password|passwd|pwd|private|secret|signature|signing|token|webhook|(?:access|api|account|encryption|client|deploy)[_ -]?(?:key|secret)|key)",
     re.IGNORECASE | re.ASCII,
 )
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_-])")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 CONTEXT, NOVELTY = 40, 0.85
+#: What stands between the lines of a key or the parts of a token, and a last line too short for a candidate.
+_JOIN = re.compile(r"(?:[.\\]|[ \t]*[\r\n]+[ \t]*)+")
+_TAIL = re.compile(r"(?:[.\\]|[ \t]*[\r\n]+[ \t]*)+([A-Za-z0-9+/_-]{1,15}(?:={1,2}(?![A-Za-z0-9+/_=-])|(?=(?:\\[rn]|\s)*-----END)))")
+#: Longer candidates are measured in chunks of this many characters, as well as whole.
+CHUNK = 32
 
 #: One of these is in every match of _ASSIGN, or of _SENSITIVE, in lower case: most texts have none, and
 #: looking for a plain string is a hundred times as fast as matching.
@@ -78,8 +85,50 @@ def novelty(before: str, candidate: str, after: str) -> float:
 
 
 def _varied(text: str) -> bool:
-    """At least a digit and a letter: what generated keys have, and words don't."""
-    return any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
+    """Digits, or cases that change as often as in random letters: of strings of one case zstandard can't
+    tell long words from keys."""
+    changes = sum(a.islower() != b.islower() for a, b in zip(text, text[1:], strict=False) if a.isalpha() and b.isalpha())
+    return any(c.isdigit() for c in text) or 3 * changes >= len(text)
+
+
+def _novel(text: str, start: int, end: int, before: str, after: str) -> list[tuple[int, int]]:
+    """The spans of a candidate that are novel; ``before`` and ``after`` surround all that adjoins it.
+
+    What adjoins a part of a key is random as well and would lower its measure, as its characters are
+    coded by their frequency then, to about 0.75; it must not repeat what adjoins it, though.
+    """
+
+    def new(a: int, b: int) -> bool:
+        beside = novelty(text[max(0, a - 256) : a], text[a:b], text[b : b + 256])
+        return beside >= NOVELTY or (beside >= NOVELTY / 2 and novelty(before, text[a:b], after) >= NOVELTY)
+
+    if new(start, end):
+        return [(start, end)]
+    if end - start < 2 * CHUNK:
+        return []
+    cuts = [*range(start, end - CHUNK + 1, CHUNK), end]
+    cuts = cuts if cuts[-1] - cuts[-2] >= CHUNK else [*cuts[:-2], end]
+    found = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if _varied(text[a:b]) and new(a, b)]
+    return [(start, end)] if 2 * len(found) >= len(cuts) - 1 else found
+
+
+def _chains(text: str) -> list[list[tuple[int, int]]]:
+    """For every sensitive word, the candidates within reach and what adjoins them, in runs that adjoin."""
+    places = [m.span() for m in _CANDIDATE.finditer(text)]
+    starts, following, chains = [a for a, _ in places], 0, []
+    for word in _SENSITIVE.finditer(text):
+        i = max(bisect_left(starts, word.end()), following)
+        while i < len(places) and starts[i] <= word.end() + CONTEXT:
+            chain = [places[i]]
+            i += 1
+            while i < len(places) and _JOIN.fullmatch(text, chain[-1][1], starts[i]):
+                chain.append(places[i])
+                i += 1
+            chains.append(chain)
+        following = max(following, i)
+        if following == len(places):
+            break
+    return chains
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -94,15 +143,19 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     if not any(w in low for w in _SENSITIVE_WORDS):
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
-    base, reach = sorted((a, b) for _, a, b in found), 0
+    base = sorted((a, b) for _, a, b in found)
     # Only what stands within reach of a sensitive word is looked at.
-    for word in _SENSITIVE.finditer(text):
-        at = max(word.end(), reach)
-        while (m := _CANDIDATE.search(text, at, min(len(text), word.end() + CONTEXT + 515))) and m.start() <= word.end() + CONTEXT:
-            at = reach = m.end()
-            if _varied(m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
-                if novelty(text[max(0, m.start() - 256) : m.start()], m[0], text[m.end() : m.end() + 256]) >= NOVELTY:
-                    found.append(("novel", m.start(), m.end()))
+    for chain in _chains(text):
+        first, last = chain[0][0], chain[-1][1]
+        before, after = text[max(0, first - 256) : first], text[last : last + 256]
+        ends = 0
+        for start, end in chain:
+            known = sum(max(0, min(b, end) - max(a, start)) for a, b in base)
+            spans = _novel(text, start, end, before, after) if 2 * known < end - start and _varied(text[start:end]) else []
+            found += [("novel", a, b) for a, b in spans]
+            ends = end if known or spans else 0
+        if len(chain) > 1 and ends and (tail := _TAIL.match(text, last)):
+            found.append(("novel", tail.start(1), tail.end(1)))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -94,3 +94,20 @@ def test_exact_links_find_the_components_of_all_pairs():
                 if 10 * both >= 8 * (len(x) + len(sets[j]) - both):
                     want = simhash._union(want, np.array([i]), np.array([j]))
         assert parent.tolist() == want.tolist() and len(links) == len(sets) - len(set(want.tolist()))
+
+
+def test_copies_at_the_limit_share_a_band():
+    rng = np.random.default_rng(4)
+    for _ in range(2000):  # 160 of 200 in common
+        drawn = rng.integers(0, 1 << 63, 200, np.uint64)
+        a, b = (simhash.signature(np.sort(drawn[k : k + 180]))[2] for k in (0, 20))
+        assert set(a) & set(b)
+
+
+def test_groups_of_two_are_found(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(80):
+        words = prose(rng, 150)
+        texts += [" ".join(words), " ".join(edited(rng, words, 0.8, 0.84))]
+    assert kept(spark, texts) == slow_kept(texts) == set(range(0, len(texts), 2))

@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: what is lost later isn't recomputed.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or earlier by :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
@@ -31,4 +31,13 @@ def stored(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`stored` gave, once nothing will read it again."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

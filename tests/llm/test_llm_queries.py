@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from test_llm_functions import components, slow_base, slow_copy_fingerprint, slow_counts, slow_fingerprint
+from test_llm_functions import components, slow_base, slow_counts, slow_fingerprint
+from test_near_copies import slow_kept
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -81,8 +82,10 @@ def test_op4(spark, tables, rows):
     assert len(got) == len(rows) and [r.component_id for r in got if r.doc_id is None] == [None]
 
 
-def test_op4_hot_shards_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_SHARD", 5)
+@pytest.mark.parametrize("hot", [5, 200])
+def test_op4_hot_shards_lose_no_link(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_SHARD", hot)
+    monkeypatch.setattr(simhash, "TASK_ENTRIES", 100)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     fps = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) for _ in range(12)]))
@@ -92,6 +95,16 @@ def test_op4_hot_shards_lose_no_link(spark, monkeypatch):
     assert got == {i: min(j for j in range(len(fps)) if root[j] == root[i]) for i in range(len(fps))}
 
 
+def test_op4_shards_are_split_until_they_are_small(spark, monkeypatch):
+    """4,000 fingerprints that differ in one word of 16 bits alone: bands of the other words hold them all."""
+    monkeypatch.setattr(simhash, "HOT_SHARD", 200)
+    fps = [(i * 16 + 1) << 16 | 7 for i in range(4000)]
+    distinct = spark.createDataFrame(list(enumerate(fps)), "rep long, fp long")
+    sizes = [r.n for r in simhash._sharded(distinct).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 256 and sum(sizes) <= 4000 * 16
+    assert simhash.connected(simhash.links(distinct)).where("label = 0").count() == 4000
+
+
 def test_op5(spark, tables, rows):
     got = collect(spark, "op5_quality", tables)
     base = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got), key=str)
@@ -212,13 +225,10 @@ def test_pipeline_equals_plain_stages(spark, tables, rows, library):
     model = toxicity.train(spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long"), spark.read.parquet(f"{tables}/labels.parquet"))
     score = toxicity.scorer(model)
     kept = [r for r in kept if score([r[1] or ""])[0] < 0.5]
-    known = sorted({(r[0], slow_copy_fingerprint(r[1] or "")) for r in kept if r[0] is not None})
-    root = components([f for _, f in known], simhash.copy_bits())
-    first = {}
-    for (i, _), r in zip(known, root, strict=True):
-        first[r] = min(i, first.get(r, i))
+    known = sorted({(r[0], r[1] or "") for r in kept if r[0] is not None})
+    first = {known[i][0] for i in slow_kept([t for _, t in known])}
     assert len(first) < len(known)
-    chosen = {i: next(r for r in kept if r[0] == i) for i in first.values()}
+    chosen = {i: next(r for r in kept if r[0] == i) for i in first}
     final = [*chosen.values(), *(r for r in kept if r[0] is None)]
     clean = [(r[0], secret_scan.redact(r[1] or "", secret_scan.scan(r[1] or ""))) for r in final]
     got = corpus_pipeline.run(spark, tables).collect()

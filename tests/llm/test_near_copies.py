@@ -66,10 +66,8 @@ def test_less_similar_texts_are_kept(spark):
     assert kept(spark, texts) == slow_kept(texts) == set(range(len(texts)))
 
 
-@pytest.mark.parametrize("star", [2, 2000])
-def test_components_of_exact_links(spark, monkeypatch, star):
-    monkeypatch.setattr(simhash, "STAR", star)
-    rng = random.Random(2)
+def families(seed):
+    rng = random.Random(seed)
     texts = ["", " ", "one two", "One  TWO", "one two three"]
     for _ in range(12):  # chains and families in which some are linked and some aren't
         words = prose(rng, 100)
@@ -78,22 +76,60 @@ def test_components_of_exact_links(spark, monkeypatch, star):
             texts.append(" ".join(edited(rng, words, 0.65, 0.85)))
             words = edited(rng, words, 0.7, 0.95)
     rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize(("star", "task"), [(2, 1 << 20), (2000, 1 << 20), (2, 300), (2000, 1)])
+def test_components_of_exact_links(spark, monkeypatch, star, task):
+    """Whatever a star or a task holds: hot groups are split, and no link is lost."""
+    monkeypatch.setattr(simhash, "STAR", star)
+    monkeypatch.setattr(simhash, "TASK_SHINGLES", task)
+    texts = families(2)
     assert kept(spark, texts) == slow_kept(texts)
 
 
-def test_exact_links_find_the_components_of_all_pairs():
+@pytest.mark.parametrize("dense", [1, 40, 1 << 20])
+def test_exact_links_find_the_components_of_all_pairs(monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE_WORDS", dense)
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        base = rng.integers(0, 1 << 40, 20, np.uint64)
-        sets = [np.unique(np.where(rng.random(20) < rng.random() / 4, rng.integers(0, 1 << 40, 20, np.uint64), base)) for _ in range(rng.integers(2, 12))]
-        parent, links = simhash.exact_links(sets, np.arange(len(sets)))
-        want = np.arange(len(sets))
+    for k in range(60):
+        base = rng.integers(0, 1 << 40, 20 * (1 + k % 9), np.uint64)
+        sets = [np.unique(np.where(rng.random(len(base)) < rng.random() / 4, rng.integers(0, 1 << 40, len(base), np.uint64), base)) for _ in range(rng.integers(2, 40))]
+        label = rng.integers(0, 2 * len(sets), len(sets)) if k % 2 else np.arange(len(sets))
+        want = np.unique(label, return_index=True, return_inverse=True)
+        want = got = want[1][want[2]]
         for i, x in enumerate(sets):
             for j in range(i):
                 both = len(np.intersect1d(x, sets[j]))
                 if 10 * both >= 8 * (len(x) + len(sets[j]) - both):
                     want = simhash._union(want, np.array([i]), np.array([j]))
-        assert parent.tolist() == want.tolist() and len(links) == len(sets) - len(set(want.tolist()))
+        for i, j in simhash.exact_links(sets, label):
+            got = simhash._union(got, np.array([i]), np.array([j]))
+        assert got.tolist() == want.tolist()
+
+
+def test_fingerprints_of_copies_lie_within_the_limit():
+    """Pairs at 0.8; the smallest sets vary most."""
+    rng = np.random.default_rng(6)
+    for left, common, right in ((0, 4, 1), (1, 8, 1), (0, 8, 2), (10, 80, 10), (0, 80, 20), (100, 800, 100)):
+        for _ in range(3000 if common < 80 else 200):
+            drawn = rng.integers(0, 1 << 63, left + common + right, np.uint64)
+            x, y = simhash.wide_fingerprint(drawn[: left + common]), simhash.wide_fingerprint(drawn[left:])
+            assert np.bitwise_count(x ^ y).sum() <= simhash.COPY_BITS
+
+
+def test_connected_finds_the_least_node(spark):
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000 + rng.randrange(200), 5000 + rng.randrange(200)) for _ in range(150)]
+    least = {}
+    for a, b in edges:
+        least.setdefault(a, a), least.setdefault(b, b)
+    for _ in range(70):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = simhash.connected(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert {r.node: r.label for r in got} == {x: least[x] for x in linked} and len(got) == len(linked)
 
 
 def test_copies_at_the_limit_share_a_band():

@@ -7,13 +7,15 @@ that all below it share, an inner node those of its whole group. Two nodes are c
 that both have settled; only bits settled since their parents are added, and a pair of groups goes as
 soon as the differences so far exceed the limit. What is left at the leaves is compared exactly.
 
-Near copies by similarity are another matter: candidates are sets of shingles that share a MinHash band,
-and each link between them is confirmed by the exact Jaccard similarity of the texts' shingles.
-
 A shard answers with a forest, one row at most for each of its fingerprints, not with its pairs, and
 groups in which all is linked already are skipped. Forests of all shards meet in a distributed
-connected-components loop. A band value that more than HOT_SHARD distinct fingerprints share is dealt
-out once more by bands that take every fourth bit.
+connected-components loop. A shard of more than HOT_SHARD distinct fingerprints is dealt out again by
+bands of the bits that its fingerprints have not yet agreed in, and so on: after LEVELS times all but
+20 bits are settled, so no shard can hold more than 2 ** 20.
+
+Near copies by similarity use the same index over fingerprints of 256 bits. Sets of five-word shingles
+that share a MinHash band are candidates; the index finds those within COPY_BITS of one another, and the
+exact Jaccard similarity of the sets decides.
 
 Rows: a null or empty text has no words and fingerprint zero, which links like any other. Repeated
 rows have equal fingerprints. A row with a null doc_id gets a fingerprint but neither links nor has a
@@ -23,7 +25,7 @@ component.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, fresh, map_texts, stored, texts_only
+from .common import append, discard, fresh, map_texts, stored, texts_only
 
 LINK_BITS, SHINGLE, SEED = 3, 3, 42
-HOT_SHARD, TASK_ENTRIES = 200_000, 500_000
+HOT_SHARD, TASK_ENTRIES, LEVELS = 200_000, 500_000, 4
+#: Up to so many rows of one number are broadcast: 1 MB.
+SMALL = 100_000
 #: Entries of a leaf, children of a node, and node pairs compared at a time.
 LEAF, FANOUT, FRONTIER = 8, 4, 1 << 18
 
@@ -135,10 +139,17 @@ class GrayIndex:
             if len(a) <= FANOUT:
                 break
 
-    def components(self, limit: int = LINK_BITS) -> np.ndarray:
-        """For every entry as given, the entry that stands for its component."""
+    def components(self, limit: int = LINK_BITS, label: np.ndarray | None = None, confirm: Callable | None = None) -> np.ndarray:
+        """For every entry as given, the entry that stands for its component.
+
+        Entries of equal ``label`` are linked already. Of pairs within the limit only those link for which
+        ``confirm(x, y)`` holds, if it is given; it is asked for entries of different components alone.
+        """
         n, words = self.fps.shape
         parent = np.arange(n)
+        if label is not None:
+            _, at, inverse = np.unique(label[self.order], return_index=True, return_inverse=True)
+            parent = at[inverse]
         top = len(self.levels) - 1
         leaves = np.arange(0, n, LEAF)
         i, j = np.triu_indices(len(self.levels[top][0]))
@@ -172,10 +183,14 @@ class GrayIndex:
                 if level:
                     stack.append((level - 1, x, y, spent[k : k + step][pair], both[k : k + step][pair]))
                     continue
-                same = self.shard[x] == self.shard[y]
-                x, y = x[same], y[same]
+                apart = (self.shard[x] == self.shard[y]) & (parent[x] != parent[y])
+                x, y = x[apart], y[apart]
                 near = np.bitwise_count(self.fps[x] ^ self.fps[y]).sum(1, dtype=np.int64) <= limit
-                parent = _union(parent, x[near], y[near])
+                x, y = x[near], y[near]
+                if confirm and len(x):
+                    sure = confirm(self.order[x], self.order[y])
+                    x, y = x[sure], y[sure]
+                parent = _union(parent, x, y)
         out = np.empty(n, np.int64)
         out[self.order] = self.order[parent]
         return out
@@ -184,86 +199,111 @@ class GrayIndex:
 # --- shards -----------------------------------------------------------------------------------------
 
 
-def _bands(bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of LINK_BITS + 1 bands over ``bits`` bits."""
-    cuts = [bits * k // (LINK_BITS + 1) for k in range(LINK_BITS + 2)]
-    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
-
-
-def _band_value(shift: int, width: int):
-    return F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1))
+def _quarters(free: int, level: int) -> list[int]:
+    """LINK_BITS + 1 masks that share out the bits of ``free``: in runs at odd levels, and in turn at even
+    ones, so that what varies in one run of bits alone is split as well."""
+    own, parts = [1 << i for i in range(64) if free >> i & 1], LINK_BITS + 1
+    if level % 2:
+        return [sum(own[len(own) * k // parts : len(own) * (k + 1) // parts]) for k in range(parts)]
+    return [sum(own[k::parts]) for k in range(parts)]
 
 
 def _sharded(distinct: DataFrame) -> DataFrame:
-    """(shard, fp, rep): one row a fingerprint and band; hot band values are dealt out by a second band.
-
-    The second bands take every fourth bit each, so that fingerprints of a hot value that differ in at
-    most LINK_BITS bits agree in one of them.
-    """
-    first = F.array(*[F.struct(F.lit(i).alias("band"), _band_value(s, w).alias("value")) for i, (s, w) in enumerate(_bands(64))])
-    dealt = distinct.select("fp", "rep", F.explode(first).alias("k")).select("fp", "rep", "k.band", "k.value")
-    hot = dealt.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHARD).select("band", "value", F.lit(True).alias("hot"))
-    # At most 4 times the fingerprints by HOT_SHARD are hot, and 4 x 65,536 at the very most.
-    marked = dealt.join(F.broadcast(hot), ["band", "value"], "left")
-    nibbles = [sum(0x1111 << i << 16 * b for b in range(4)) for i in range(4)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in nibbles]
-    second = F.when(F.col("hot"), F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])).otherwise(
-        F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).cast("long").alias("value")))
-    )
-    return marked.select("fp", "rep", "band", "value", F.explode(second).alias("s")).select(
-        F.xxhash64("band", "value", "s.band", "s.value").alias("shard"), "fp", "rep"
-    )
+    """(shard, rep, fp): one row a fingerprint and band, hot shards dealt out again by their unsettled bits."""
+    rows = distinct.select("fp", "rep", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("path"))
+    free, done = [(1 << 64) - 1], []
+    for level in range(1, LEVELS + 1):
+        cuts = [_quarters(f, level) for f in free]
+        masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for q in cuts for m in q])
+        path = [F.col("path") * (LINK_BITS + 1) + k for k in range(LINK_BITS + 1)]
+        child = F.array(*[F.struct(p.alias("path"), F.xxhash64("shard", p, F.col("fp").bitwiseAND(F.get(masks, p))).alias("shard")) for p in path])
+        rows = rows.select("fp", "rep", F.explode(child).alias("c")).select("fp", "rep", "c.shard", "c.path")
+        free = [f & ~m for f, q in zip(free, cuts, strict=True) for m in q]
+        if level == LEVELS:
+            break
+        hot = stored(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHARD).select("shard"), "hot")
+        n_hot = hot.count()
+        if not n_hot:
+            break
+        hot = F.broadcast(hot) if n_hot <= SMALL else hot
+        done.append(rows.join(hot, "shard", "left_anti"))
+        rows = rows.join(hot, "shard", "left_semi")
+    for more in done:
+        rows = rows.unionByName(more)
+    return rows.select("shard", "rep", "fp")
 
 
 def _forest(limit: int):
-    """From a task's (shard, rep, words of the fingerprint) to links (a, b), one at most for each entry."""
+    """From a task's (shard, rep, words of the fingerprint), sorted by shard, to links (a, b), one at most
+    for each entry. Whole shards are indexed together, about TASK_ENTRIES entries at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if sum(b.num_rows for b in batches) < 2:
-            return
-        table = pa.Table.from_batches(batches)
-        shard, rep, *words = (c.to_numpy() for c in table.columns)
+    def linked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rep, *words = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
         up = GrayIndex(np.stack(words, 1).view(np.uint64), shard).components(limit)
-        linked = np.flatnonzero(up != np.arange(len(up)))
-        for k in range(0, len(linked), 1 << 16):
-            part = linked[k : k + (1 << 16)]
+        own = np.flatnonzero(up != np.arange(len(up)))
+        for k in range(0, len(own), 1 << 16):
+            part = own[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(rep[part]), pa.array(rep[up[part]])], names=["a", "b"])
 
-    return run
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            if total >= TASK_ENTRIES and batch.num_rows:
+                last = held[-1].column(0)[-1].as_py()
+                cut = int(np.searchsorted(batch.column(0).to_numpy(), last, side="right"))
+                if cut:
+                    held.append(batch.slice(0, cut))
+                if cut < batch.num_rows:
+                    yield from linked(held)
+                    held, total, batch = [], 0, batch.slice(cut)
+                else:
+                    continue
+            if batch.num_rows:
+                held.append(batch)
+                total += batch.num_rows
+        if total > 1:
+            yield from linked(held)
 
-def _dealt(sharded: DataFrame, entries: int, limit: int) -> DataFrame:
-    """Links of a sharded table, dealt by shard to tasks of about TASK_ENTRIES entries each."""
-    tasks = max(entries // TASK_ENTRIES, int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sharded.repartition(tasks, "shard").mapInArrow(_forest(limit), "a long, b long")
+    return run
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between representatives that span exactly the components of the link relation."""
-    return _dealt(_sharded(distinct).select("shard", "rep", "fp"), (LINK_BITS + 1) * distinct.count(), LINK_BITS)
+    tasks = max((LINK_BITS + 1) * distinct.count() // TASK_ENTRIES, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _sharded(distinct).repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_forest(LINK_BITS), "a long, b long")
+
+
+def _same(x: DataFrame, y: DataFrame) -> bool:
+    """Whether two tables of distinct links are equal."""
+    return x.count() == y.count() and x.join(y, ["a", "b"], "left_anti").isEmpty()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the smallest node of its component.
 
     Large-star and small-star steps in turn until nothing changes. Minima are aggregated before they
-    are joined, so a node with very many links is summed up where they lie, and the join's side with
-    its links may be split by adaptive execution; every round is written to the shared folder.
+    are joined, and the join is salted by the other end of a link, so the links of one node are dealt to
+    several tasks. Every round is written to the shared folder, and the round before is removed.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while not edges.isEmpty():
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    most = edges.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    salts = 8 + most // 50_000
+    salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1).cast("int"))).alias("salt")
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"), every)
+        large = both.where("b > a").select("a", "b", salt).join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m")).select("a", "m", every)
+        small = large.select("a", "b", salt).join(least, ["a", "salt"])
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         after = stored(small.where("a <> b").distinct(), "links")
-        same = edges.groupBy().agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        new = after.groupBy().agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        done = _same(after, edges)
+        discard(edges)
         edges = after
-        if same == new:
+        if done:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
@@ -284,53 +324,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # --- near copies by shingles in common --------------------------------------------------------------
 
-#: Five-word shingles and a fingerprint of four words.
-COPY_SHINGLE, COPY_WORDS, SIMILARITY = 5, 4, 0.8
-#: Of pairs just at the limit, the share that must meet in a shard.
-RECALL = 0.95
-
-
-def copy_bits(similarity: float = SIMILARITY, bits: int = 64 * COPY_WORDS) -> int:
-    """Bits in which texts of a similarity differ, one standard deviation above the mean, so that most pairs
-    at the limit link. With J the share of shingles in common, the angle of the texts is acos(2J / (1 + J))."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
-
-
-def wide_fingerprint(text: str, shingle: int = COPY_SHINGLE, words: int = COPY_WORDS) -> list[int]:
-    """SimHash of several 64-bit words, by XXH3-128 under as many seeds as it takes."""
-    from xxhash import xxh3_128_digest
-
-    own = text.encode().lower().split()
-    if not own:
-        return [0] * words
-    joined = b" ".join(own)
-    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-    n = max(1, len(own) - shingle + 1)
-    begins = [0, *ends[: n - 1].tolist()]
-    lasts = (ends - 1)[shingle - 1 :].tolist() or [len(joined)]
-    bits = np.zeros(64 * words, np.int64)
-    for i in range(0, n, 1 << 13):
-        parts = [joined[a:b] for a, b in zip(begins[i : i + (1 << 13)], lasts[i : i + (1 << 13)], strict=True)]
-        for k in range(0, words, 2):
-            raw = np.frombuffer(b"".join([xxh3_128_digest(p, k) for p in parts]), np.uint8).reshape(-1, 16)
-            bits[64 * k : 64 * k + 128] += np.unpackbits(raw, axis=1).sum(0, dtype=np.int32)
-    return np.packbits(2 * bits > n).view(">i8").tolist()
-
-
-def bands(entries: int, limit: int, words: int = COPY_WORDS, recall: float = RECALL) -> list[list[int]]:
-    """Masks over the words: each of about log2(entries / 64) bits, drawn by a fixed seed, and as many as
-    make pairs at the limit share one with the chance asked for."""
-    total = 64 * words
-    width = min(total // 4, max(8, int(np.ceil(np.log2(max(entries, 1) / 64 + 1)))))
-    meet = (1 - limit / total) ** width
-    rng = np.random.default_rng(42)
-    out = []
-    for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))):
-        flags = np.zeros(total, np.uint8)
-        flags[rng.choice(total, width, replace=False)] = 1
-        out.append(np.packbits(flags).view(">i8").tolist())
-    return out
+#: Five-word shingles, fingerprints of four words, and the bits in which those of candidates may differ. Sets of
+#: a similarity of 0.8 differ in 0.14 to 0.19 of the bits: of those fewer than 1 in 10 ** 6 in more than 80 of 256.
+COPY_SHINGLE, COPY_WORDS, COPY_BITS, SIMILARITY = 5, 4, 80, 0.8
 
 
 def shingle_set(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
@@ -350,7 +346,11 @@ def shingle_set(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
 
 #: A pair of similarity J shares a band with the chance 1 - (1 - J ** COPY_ROWS) ** COPY_BANDS: all but
 #: 5 in 10 ** 8 of the pairs at 0.8. Neither number depends on the corpus.
-COPY_BANDS, COPY_ROWS, STAR = 32, 4, 2000
+COPY_BANDS, COPY_ROWS = 32, 4
+#: Texts of a star that go to one task, and shingles of a task's sets, apart from a single larger pair.
+STAR, TASK_SHINGLES = 2000, 1 << 20
+#: Words of the bit sets that a task holds: 128 MB.
+DENSE_WORDS = 1 << 24
 
 
 @lru_cache(maxsize=1)
@@ -378,39 +378,91 @@ def signature(shingles: np.ndarray) -> tuple[int, int, list[int]]:
     return *name, np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def exact_links(sets: list[np.ndarray], parent: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Components of sets by exact Jaccard similarity, and the links that join them.
+def wide_fingerprint(shingles: np.ndarray, words: int = COPY_WORDS) -> np.ndarray:
+    """SimHash of several 64-bit words over a set of shingle hashes, each of which is mixed anew for each word."""
+    bits = np.zeros(64 * words, np.int64)
+    for i in range(0, len(shingles), 1 << 13):
+        mixed = shingles[i : i + (1 << 13), None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(31)
+        bits += np.unpackbits(mixed.astype(">u8").view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * bits > len(shingles)).view(">u8").astype(np.uint64)
+
+
+class Overlaps:
+    """Exact similarity of pairs of sets. The shingles that most sets share are bits, the others sorted ids."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.similarity, self.sizes = similarity, np.array([len(s) for s in sets], np.int64)
+        _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        row, column = np.repeat(np.arange(len(sets)), self.sizes), rank[ids]
+        shared = counts[ids] > 1  # what only one set has is in no pair
+        row, column = row[shared], column[shared]
+        words = max(1, min(-(-int(column.max(initial=0) + 1) // 64), DENSE_WORDS // len(sets)))
+        dense = column < 64 * words
+        place, bit = row[dense] * words + (column[dense] >> 6), np.left_shift(np.uint64(1), (column[dense] & 63).astype(np.uint64))
+        order = np.argsort(place, kind="stable")
+        place, bit = place[order], bit[order]
+        begins = np.flatnonzero(np.diff(place, prepend=-1))
+        self.bits = np.zeros(len(sets) * words, np.uint64)
+        if len(begins):
+            self.bits[place[begins]] = np.bitwise_or.reduceat(bit, begins)
+        self.bits = self.bits.reshape(len(sets), words)
+        self.more = np.bincount(row[~dense], minlength=len(sets))
+        self.rest = np.split(column[~dense], np.cumsum(self.more)[:-1])
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out, step = np.zeros(len(x), bool), max(1, (1 << 21) // self.bits.shape[1])
+        for k in range(0, len(x), step):
+            a, b = x[k : k + step], y[k : k + step]
+            common = np.bitwise_count(self.bits[a] & self.bits[b]).sum(1, dtype=np.int64)
+            # Whole numbers, and room for the rounding of the product only.
+            least = self.similarity * (self.sizes[a] + self.sizes[b]) / (1 + self.similarity) - 1e-9
+            spare = np.minimum(self.more[a], self.more[b])
+            for i in np.flatnonzero((spare > 0) & (common < least) & (common + spare >= least)).tolist():
+                common[i] += len(np.intersect1d(self.rest[a[i]], self.rest[b[i]], assume_unique=True))
+            out[k : k + step] = (common >= least) & (common > 0)
+        return out
+
+
+def exact_links(sets: list[np.ndarray], label: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join the components of sets by exact Jaccard similarity; sets of equal ``label`` are linked already.
 
-    ``parent`` gives the components known before. Sets outside the largest component are compared with all
-    others through the postings of their shingles, so every pair of different components is.
+    The Gray-order index over the sets' fingerprints finds the pairs to compare.
     """
-    sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    holders = np.repeat(np.arange(len(sets)), sizes)[order]
-    first = np.searchsorted(ids[order], np.arange(ids.max(initial=-1) + 2))
-    at, links, done = np.cumsum(sizes) - sizes, [], np.zeros(len(sets), bool)
-    while True:
-        counts = np.bincount(parent, minlength=len(sets))
-        left = np.flatnonzero((parent != counts.argmax()) & ~done)
-        if not len(left):
-            return parent, links
-        i = 0 if not done[0] else left[0]  # the first is the middle of a star
-        done[i] = True
-        own = ids[at[i] : at[i] + sizes[i]]
-        common = np.zeros(len(sets), np.int64)
-        for x in own.tolist():
-            common[holders[first[x] : first[x + 1]]] += 1
-        # Whole numbers, and room for the rounding of the product only.
-        near = np.flatnonzero((common >= similarity * (sizes + sizes[i] - common) - 1e-9) & (common > 0))
-        for j in near[parent[near] != parent[i]].tolist():
-            if parent[i] != parent[j]:
-                links.append((int(i), j))
-                parent = _union(parent, np.array([i]), np.array([j]))
+    if len(sets) < 2 or not sum(map(len, sets)):
+        return []
+    index = GrayIndex(np.array([wide_fingerprint(s) for s in sets]), np.zeros(len(sets), np.int64))
+    up = index.components(COPY_BITS, label, Overlaps(sets, similarity))
+    _, first = np.unique(label, return_index=True)
+    return [(i, int(up[i])) for i in first.tolist() if up[i] != i]
+
+
+def _star(similarity: float):
+    """From a task's (key, rep, c, text), sorted by key with the centre of each star first, to links of the centre."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, centre = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            for key, rep, c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                shingles = shingle_set(text or "")
+                if key != own and rep == c:
+                    own, centre = key, shingles
+                elif key == own and rep != c:
+                    common = np.intersect1d(centre, shingles, assume_unique=True).size
+                    if common and common >= similarity * (len(centre) + len(shingles) - common) - 1e-9:
+                        found.append((rep, c))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def _confirm(similarity: float):
-    """From a task's (key, rep, label, text), sorted by key, to links (a, b) of exact similarity."""
+    """From a task's (key, rep, label, text), sorted by key, to links (a, b) of exact similarity within each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -420,36 +472,35 @@ def _confirm(similarity: float):
                 reps.append(rep)
                 labels.append(label)
                 sets.append(shingle_set(text or ""))
-            _, at, inverse = np.unique(labels, return_index=True, return_inverse=True)
-            _, links = exact_links(sets, at[inverse], similarity)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([reps[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if found := exact_links(sets, np.array(labels), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array([reps[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) of exact similarity that span the components of sets (rep, name0, name1, bands).
+    """Links (a, b) of exact similarity that span the components of sets (rep, name0, name1, size, bands).
 
-    Sets that share a band are candidates. Each is compared first with the least of all that it shares
-    one with, in stars of STAR at most; the bands in which different components are left then are
-    compared whole, one of those with the same members. ``texts`` has (rep, name0, name1, text).
+    Sets that share a band are candidates. Each is compared first with the least of all that it shares one
+    with, in stars of STAR at most, through which a task streams. Bands that hold different components
+    then are joined to clusters, and a cluster of up to TASK_SHINGLES shingles is indexed in one task. In a
+    larger one each band is indexed by itself; where that is too large as well, it is dealt to blocks
+    at random and every two blocks meet in a task. ``texts`` has (rep, name0, name1, text).
     """
-
-    def confirmed(buckets: DataFrame) -> DataFrame:
-        told = buckets.join(distinct.select("rep", "name0", "name1"), "rep").join(texts, ["rep", "name0", "name1"]).select("key", "rep", "label", "text")
-        return told.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_confirm(similarity), "a long, b long")
-
     entries = distinct.select("rep", F.explode("bands").alias("key"))
     least = entries.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("z")).where("c < z").select("key", "c")
     shared = stored(entries.join(least, "key"), "shared")
     nearest = stored(shared.where("rep <> c").groupBy("rep").agg(F.min("c").alias("c")), "nearest")
+    members = nearest.select("rep").union(nearest.select("c")).distinct()
+    told = stored(distinct.select("rep", "name0", "name1", "size").join(members, "rep").join(texts, ["rep", "name0", "name1"]).select("rep", "size", "text"), "candidates")
+
     parts = nearest.groupBy("c").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     spokes = nearest.join(parts, "c").select("c", F.expr("pmod(xxhash64(rep), parts)").alias("part"), "rep")
     stars = spokes.unionByName(spokes.select("c", "part", F.col("c").alias("rep")).distinct())
-    links = stored(confirmed(stars.select(F.xxhash64("c", "part").alias("key"), "rep", F.col("rep").alias("label"))), "links")
+    stars = stars.select(F.xxhash64("c", "part").alias("key"), "c", "rep").join(told.select("rep", "text"), "rep").select("key", "rep", "c", "text")
+    star_links = stored(stars.repartition("key").sortWithinPartitions("key", F.col("rep") != F.col("c")).mapInArrow(_star(similarity), "a long, b long"), "links")
 
-    label = connected(links)
+    label = connected(star_links)
     held = shared.join(label, shared.rep == label.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     open_ = held.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("rep").alias("c"), F.max("rep").alias("rep"),
@@ -457,8 +508,27 @@ def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILA
     ).where("low < high")
     tried = nearest.select("c", "rep", F.lit(2).cast("long").alias("n"))
     open_ = open_.groupBy("n", "c", "rep", "sum0", "sum1").agg(F.min("key").alias("key")).join(tried, ["c", "rep", "n"], "left_anti")
-    rest = stored(held.join(open_.select("key"), "key", "left_semi"), "rest")
-    return links.union(confirmed(rest)) if not rest.isEmpty() else links
+    rest = stored(held.join(open_.select("key", "c"), "key"), "rest")  # key, rep, label, c
+    if rest.isEmpty():
+        return star_links
+    cluster = stored(connected(rest.select(F.col("rep").alias("a"), F.col("c").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "clusters")
+    sized = cluster.join(told.select("rep", "size").distinct(), "rep").groupBy("cluster").agg(F.sum("size").alias("total"))
+    large = stored(sized.where(F.col("total") > TASK_SHINGLES).select("cluster"), "large")
+
+    def confirmed(groups: DataFrame) -> DataFrame:
+        """Links within the groups (key, rep, label)."""
+        rows = groups.join(told.select("rep", "text"), "rep").select("key", "rep", "label", "text")
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm(similarity), "a long, b long")
+
+    whole = rest.select("rep", "label").distinct().join(cluster, "rep").join(large, "cluster", "left_anti")
+    found = star_links.union(stored(confirmed(whole.select(F.xxhash64("cluster").alias("key"), "rep", "label")), "links"))
+    if large.isEmpty():
+        return found
+    crowded = stored(rest.join(cluster.join(large, "cluster", "left_semi").select("rep"), "rep", "left_semi").select("key", "rep", "label"), "crowded")
+    blocks = crowded.join(told.select("rep", "size").distinct(), "rep").groupBy("key").agg(F.ceil(2 * F.sum("size") / TASK_SHINGLES).cast("int").alias("blocks"))
+    dealt = crowded.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return found.union(confirmed(dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "label")))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -467,19 +537,21 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or
     more, compared exactly; groups are their components.
     """
-    names = [fresh(docs, name) for name in ("name0", "name1", "bands")]
+    columns, kinds = ("name0", "name1", "size", "bands"), ("long", "long", "long", "array<long>")
+    names = [fresh(docs, name) for name in columns]
 
     def make():
         def work(keys, texts):
-            made = [signature(shingle_set(t)) for t in texts]
+            sets = [shingle_set(t) for t in texts]
+            made = [(high, low, len(s), bands) for s in sets for high, low, bands in [signature(s)]]
             return {name: [m[i] for m in made] for i, name in enumerate(names)}
 
         return work
 
-    made = stored(append(docs, make, dict(zip(names, ("long", "long", "array<long>"), strict=True))), "signatures")
-    own = [F.col(n).alias(c) for n, c in zip(names, ("name0", "name1", "bands"), strict=True)]
+    made = stored(append(docs, make, dict(zip(names, kinds, strict=True))), "signatures")
+    own = [F.col(n).alias(c) for n, c in zip(names, columns, strict=True)]
     known = made.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text", *own)
-    distinct = stored(known.groupBy("name0", "name1").agg(F.min("rep").alias("rep"), F.first("bands").alias("bands")), "distinct")
+    distinct = stored(known.groupBy("name0", "name1").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")
     label = connected(copy_links(distinct, known.select("rep", "name0", "name1", "text"), similarity))
     others = label.where("node <> label").select(F.col("node").alias("rep"))
     first = distinct.join(others, "rep", "left_anti").select(F.col("rep").alias("doc_id"), F.col("name0").alias(names[0]), F.col("name1").alias(names[1]))

@@ -101,7 +101,7 @@ def test_op4_shards_are_split_until_they_are_small(spark, monkeypatch):
     fps = [(i * 16 + 1) << 16 | 7 for i in range(4000)]
     distinct = spark.createDataFrame(list(enumerate(fps)), "rep long, fp long")
     sizes = [r.n for r in simhash._sharded(distinct).groupBy("shard").agg(F.count("*").alias("n")).collect()]
-    assert max(sizes) <= 256 and sum(sizes) <= 4000 * 16
+    assert max(sizes) <= 200 and sum(sizes) <= 4000 * 4**4 // 2
     assert simhash.connected(simhash.links(distinct)).where("label = 0").count() == 4000
 
 

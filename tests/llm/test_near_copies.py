@@ -79,11 +79,12 @@ def families(seed):
     return texts
 
 
-@pytest.mark.parametrize(("star", "task"), [(2, 1 << 20), (2000, 1 << 20), (2, 300), (2000, 1)])
-def test_components_of_exact_links(spark, monkeypatch, star, task):
+@pytest.mark.parametrize(("star", "sets", "blocks"), [(2, 1000, 16), (2000, 4, 16), (2, 4, 2), (2000, 1, 1)])
+def test_components_of_exact_links(spark, monkeypatch, star, sets, blocks):
     """Whatever a star or a task holds: hot groups are split, and no link is lost."""
     monkeypatch.setattr(simhash, "STAR", star)
-    monkeypatch.setattr(simhash, "TASK_SHINGLES", task)
+    monkeypatch.setattr(simhash, "TASK_SETS", sets)
+    monkeypatch.setattr(simhash, "CLUSTER_BLOCKS", blocks)
     texts = families(2)
     assert kept(spark, texts) == slow_kept(texts)
 

@@ -347,8 +347,9 @@ def shingle_set(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
 #: A pair of similarity J shares a band with the chance 1 - (1 - J ** COPY_ROWS) ** COPY_BANDS: all but
 #: 5 in 10 ** 8 of the pairs at 0.8. Neither number depends on the corpus.
 COPY_BANDS, COPY_ROWS = 32, 4
-#: Texts of a star that go to one task, and shingles of a task's sets, apart from a single larger pair.
-STAR, TASK_SHINGLES = 2000, 1 << 20
+#: Texts of a star that go to one task, and sets and their shingles in a task that indexes them, apart from a
+#: single larger pair. Clusters of more than CLUSTER_BLOCKS halves of a task are indexed by band.
+STAR, TASK_SETS, TASK_SHINGLES, CLUSTER_BLOCKS = 2000, 1000, 1 << 20, 16
 #: Words of the bit sets that a task holds: 128 MB.
 DENSE_WORDS = 1 << 24
 
@@ -483,9 +484,9 @@ def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILA
 
     Sets that share a band are candidates. Each is compared first with the least of all that it shares one
     with, in stars of STAR at most, through which a task streams. Bands that hold different components
-    then are joined to clusters, and a cluster of up to TASK_SHINGLES shingles is indexed in one task. In a
-    larger one each band is indexed by itself; where that is too large as well, it is dealt to blocks
-    at random and every two blocks meet in a task. ``texts`` has (rep, name0, name1, text).
+    then are joined to clusters, and clusters are indexed. One that is too large for a task is dealt to blocks
+    at random, and every two blocks meet in a task; one of more than CLUSTER_BLOCKS blocks is indexed by
+    band, in the same way. ``texts`` has (rep, name0, name1, text).
     """
     entries = distinct.select("rep", F.explode("bands").alias("key"))
     least = entries.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("z")).where("c < z").select("key", "c")
@@ -511,24 +512,19 @@ def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILA
     rest = stored(held.join(open_.select("key", "c"), "key"), "rest")  # key, rep, label, c
     if rest.isEmpty():
         return star_links
-    cluster = stored(connected(rest.select(F.col("rep").alias("a"), F.col("c").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "clusters")
-    sized = cluster.join(told.select("rep", "size").distinct(), "rep").groupBy("cluster").agg(F.sum("size").alias("total"))
-    large = stored(sized.where(F.col("total") > TASK_SHINGLES).select("cluster"), "large")
-
-    def confirmed(groups: DataFrame) -> DataFrame:
-        """Links within the groups (key, rep, label)."""
-        rows = groups.join(told.select("rep", "text"), "rep").select("key", "rep", "label", "text")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm(similarity), "a long, b long")
-
-    whole = rest.select("rep", "label").distinct().join(cluster, "rep").join(large, "cluster", "left_anti")
-    found = star_links.union(stored(confirmed(whole.select(F.xxhash64("cluster").alias("key"), "rep", "label")), "links"))
-    if large.isEmpty():
-        return found
-    crowded = stored(rest.join(cluster.join(large, "cluster", "left_semi").select("rep"), "rep", "left_semi").select("key", "rep", "label"), "crowded")
-    blocks = crowded.join(told.select("rep", "size").distinct(), "rep").groupBy("key").agg(F.ceil(2 * F.sum("size") / TASK_SHINGLES).cast("int").alias("blocks"))
-    dealt = crowded.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return found.union(confirmed(dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "label")))
+    cluster = connected(rest.select(F.col("rep").alias("a"), F.col("c").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    cluster = stored(cluster.join(told.select("rep", "size").distinct(), "rep"), "clusters")
+    blocks = F.ceil(F.greatest(F.sum("size") / TASK_SHINGLES, F.count("*") / TASK_SETS) * 2).cast("int")
+    large = stored(cluster.groupBy("cluster").agg(blocks.alias("blocks")).where(F.col("blocks") > CLUSTER_BLOCKS).select("cluster"), "large")
+    rest = rest.join(cluster, "rep")
+    whole = rest.join(large, "cluster", "left_anti").select(F.col("cluster").alias("key"), "rep", "label", "size").distinct()
+    by_band = rest.join(large, "cluster", "left_semi").select("key", "rep", "label", "size")
+    groups = stored(whole.select(F.xxhash64(F.lit("cluster"), "key").alias("key"), "rep", "label", "size").unionByName(by_band), "groups")
+    dealt = groups.join(groups.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1))
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "label")
+    rows = dealt.join(told.select("rep", "text"), "rep").select("key", "rep", "label", "text")
+    return star_links.union(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm(similarity), "a long, b long"))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

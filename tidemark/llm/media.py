@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts, texts_only
 
@@ -100,38 +101,32 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
-    """doc_id with the arrays hashes and frames of a table (doc_id, media)."""
-
-    def make():
-        def work(keys, files):
-            made = [fingerprint(from_wav(m)) for m in files]
-            return {"doc_id": keys, "hashes": [h.tolist() for h, _, _ in made], "frames": [t.tolist() for _, t, _ in made]}
-
-        return work
-
-    return map_texts(media.select("doc_id", "media"), make, "doc_id long, hashes array<int>, frames array<int>", column="media")
-
-
-def read_back(media: DataFrame) -> DataFrame:
-    """Digests of stored media (doc_id, n_bytes, media): of the file, its samples and its fingerprint."""
+    """doc_id and n_bytes of a table (doc_id, n_bytes, media), digests of the file and its samples, the
+    number of peaks, and the time-coded arrays: hashes of peak pairs and the frames at which they begin."""
 
     def make():
         def one(file: bytes) -> tuple:
             samples = from_wav(file)
             hashes, begins, peaks = fingerprint(samples)
-            pairs = zlib.crc32(begins.astype("<i4").tobytes(), zlib.crc32(hashes.astype("<i4").tobytes()))
-            return (
-                len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(file),
-                hashlib.sha256(file).hexdigest(), f"{peaks}:{len(hashes)}:{pairs:08x}",
-            )
+            return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), peaks, hashes, begins
 
         def work(keys, files):
-            made = zip(*map(one, files), strict=True)
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            return {"key": keys} | dict(zip(names, made, strict=True))
+            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "peaks", "hashes", "frames")
+            return {"key": keys} | dict(zip(names, zip(*map(one, files), strict=True), strict=True))
 
         return work
 
     own = media.selectExpr("struct(doc_id, n_bytes) as key", "media")
-    schema = "key struct<doc_id: long, n_bytes: long>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = (
+        "key struct<doc_id: long, n_bytes: long>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+        "media_sha256 string, peaks int, hashes array<int>, frames array<int>"
+    )
     return map_texts(own, make, schema, column="media").select("key.*", *[c.split()[0] for c in schema.split(", ")[2:]])
+
+
+def features(prints: DataFrame) -> DataFrame:
+    """The table with ``feature`` in place of peaks and arrays: peaks:pairs:crc32, by which equal arrays have
+    equal features."""
+    pairs = F.crc32(F.concat(F.array_join("hashes", ","), F.lit(";"), F.array_join("frames", ",")))
+    feature = F.concat_ws(":", "peaks", F.size("hashes"), F.lower(F.lpad(F.hex(pairs), 8, "0")))
+    return prints.withColumn("feature", feature).drop("peaks", "hashes", "frames")

@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts, texts_only
 
@@ -287,19 +288,25 @@ class RankEncoder:
         """Byte offset in the text at which each token ends."""
         return np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes of the tokens, gathered from the vocabulary."""
-        at = np.frombuffer(ids, "<u4")
-        if len(at) < 64:
-            return b"".join(map(self.tokens.__getitem__, at.tolist()))
-        out = []
+    def decode(self, ids: bytes, ends: np.ndarray) -> bytes:
+        """The bytes of the tokens, each put where the offsets retained at encoding say."""
+        at, out = np.frombuffer(ids, "<u4"), []
         for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            size = self.sizes[part]
-            ends = np.cumsum(size)
-            out.append(self.bytes[np.repeat(self.offsets[part] - ends + size, size) + np.arange(ends[-1])].tobytes())
+            part, own = at[k : k + (1 << 16)], ends[k : k + (1 << 16)].astype(np.int64)
+            first = int(ends[k - 1]) if k else 0
+            size = np.diff(own, prepend=first)
+            if not np.array_equal(size, self.sizes[part]):
+                raise ValueError("the offsets are not those of these tokens")
+            out.append(self.bytes[np.repeat(self.offsets[part] - own + size, size) + np.arange(first, own[-1])].tobytes())
         return b"".join(out)
 
+    def decode_range(self, ids: bytes, ends: np.ndarray, begin: int, end: int) -> bytes:
+        """Bytes ``begin`` to ``end`` of the text, from the tokens that the offsets place there alone."""
+        a, b = np.searchsorted(ends, begin, side="right"), np.searchsorted(ends, end, side="left") + 1
+        first = int(ends[a - 1]) if a else 0
+        some = self.decode(ids[4 * a : 4 * b], np.asarray(ends[a:b], np.int64) - first)
+        return some[begin - first : max(begin, end) - first]
+
 
 @lru_cache(maxsize=2)
 def rank_encoder(path: str) -> RankEncoder:
@@ -308,20 +315,30 @@ def rank_encoder(path: str) -> RankEncoder:
 
 
 def encode_documents(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, ids and ends (byte offset of each token's end), both as little-endian u32."""
+    """doc_id, ids (little-endian u32) and ends (byte offset of each token's end, u64)."""
 
     def make():
         encoder = rank_encoder(ranks)
 
         def work(keys, texts):
             ids = encoder.encode(texts)
-            return {"doc_id": keys, "ids": ids, "ends": [encoder.token_ends(x).astype("<u4").tobytes() for x in ids]}
+            return {"doc_id": keys, "ids": ids, "ends": [encoder.token_ends(x).astype("<u8").tobytes() for x in ids]}
 
         return work
 
     return map_texts(texts_only(docs), make, "doc_id long, ids binary, ends binary")
 
 
+def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
+    """doc_id and text of a table (doc_id, ids, ends), by the offsets kept with the ids."""
+
+    def make():
+        encoder = rank_encoder(ranks)
+        return lambda keys, ids: {"doc_id": [k["doc_id"] for k in keys], "text": [encoder.decode(x, np.frombuffer(k["ends"], "<u8")).decode() for k, x in zip(keys, ids, strict=True)]}
+
+    return map_texts(encoded.select(F.struct("doc_id", "ends").alias("key"), "ids"), make, "doc_id long, text string", column="ids")
+
+
 def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids and of the bytes decoded from them."""
 
@@ -334,7 +351,7 @@ def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
                 "doc_id": keys,
                 "n_tokens": [len(x) // 4 for x in ids],
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(encoder.decode(x, encoder.token_ends(x))).hexdigest() for x in ids],
             }
 
         return work

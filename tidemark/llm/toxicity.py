@@ -1,15 +1,18 @@
 """Toxicity by compression distance: windows against a toxic and an ordinary zstandard dictionary.
 
 A window is one word between two fixed pieces of text: the piece before makes the compressor open its
-block, the piece after takes its last eight bytes, in which it looks for no match. Both dictionaries
-hold the ordinary words that most labelled documents use; the toxic one also holds the words that toxic
-documents use in more contexts than chance allows. The difference of a window's two compressed lengths
-is then what the toxic text alone explains of it. A document's windows are summed up over its distinct
-words, and a logistic threshold is calibrated on labelled rows that the dictionaries have not seen.
-
-Fitting uses at most MAX_ROWS labelled rows of each label and no text over MAX_CHARS characters, the
-rows chosen by a hash of the id; scoring covers every document and its whole text. Labels are learnt
-only from rows whose crc32(doc_id as text) mod 5 is not 0, and score inputs are texts alone.
+block, the piece after takes its last eight bytes, in which it looks for no match. The ordinary
+dictionary holds the words that most ordinary labelled documents use. The toxic one is trained by
+zstandard on windows of toxic documents: words that toxic documents use in more contexts than chance
+allows, each as often as it has contexts. Its coder holds both, so that the difference of a window's two
+compressed lengths is what the toxic text alone explains of it. A document's windows are summed up over
+its distinct words, and a logistic threshold is calibrated on labelled rows that the dictionaries have
+not seen.
+
+Fitting uses at most MAX_ROWS labelled rows of each label, chosen by a hash of the id, and their whole
+texts; words are counted and rows measured on executors, and the driver gets the words of the two
+dictionaries and a few numbers a row. Scoring covers every document and its whole text. Labels are
+learnt only from rows whose crc32(doc_id as text) mod 5 is not 0, and score inputs are texts alone.
 
 Rows: null and empty texts score as a text without toxic words. Repeated rows score alike. With several
 labels for a document the highest counts; null labels don't. Without labels of both kinds all scores are 0.
@@ -17,18 +20,22 @@ labels for a document the highest counts; null labels don't. Without labels of b
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, fresh, map_texts, texts_only
+from .common import append, fresh, map_texts, steps, stored, texts_only
 
-MAX_ROWS, MAX_CHARS = 3_000, 50_000
-LEVEL, BASE_BYTES, TOXIC_BYTES, LEAST_Z = 12, 8192, 2048, 4.0
+#: The bound of the labelled sample, and the sizes of the two dictionaries.
+MAX_ROWS, BASE_BYTES, TOXIC_BYTES = 3_000, 8192, 16384
+#: Contexts that a word of the toxic dictionary has at least, and by how many deviations more than by chance;
+#: and how many windows the trainer gets in all, shared out by contexts.
+LEAST_CONTEXTS, LEAST_Z, SAMPLES = 3, 4.0, 20_000
+LEVEL = 12
 #: Text that occurs nowhere: it opens and ends every window.
 OPEN, CLOSE = bytes(range(128, 176)), bytes(range(12))
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
@@ -79,14 +86,6 @@ class Distance:
         )
 
 
-def _contexts(texts: list[str]) -> Counter:
-    """How many different words precede each word: copies of a document add nothing."""
-    seen: set[tuple[bytes, bytes]] = set()
-    for text in texts:
-        seen.update(pairwise([b"", *words(text)]))
-    return Counter(w for _, w in seen)
-
-
 def _content(ranked: list[bytes], size: int) -> bytes:
     """Words up to ``size`` bytes, the first ones last, where matches cost least."""
     out, total = [], 0
@@ -98,21 +97,45 @@ def _content(ranked: list[bytes], size: int) -> bytes:
     return b"".join(reversed(out))
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary dictionary and of what the toxic one adds."""
-    t, o = _contexts(toxic), _contexts(ordinary)
-    nt, no = t.total(), o.total()
-    share = nt / max(1, nt + no)
+def trained(contexts: list[tuple[bytes, int]], size: int = TOXIC_BYTES, samples: int = SAMPLES) -> bytes:
+    """What zstandard's trainer makes of windows of the words, each as often as it has contexts."""
+    import zstandard as zs
+
+    total = sum(n for _, n in contexts)
+    share = min(1.0, samples / max(1, total))
+    windows = [(b" " + word + b" ").ljust(8) for word, n in contexts for _ in range(max(1, round(n * share)))]
+    try:
+        return zs.train_dictionary(size, windows).as_bytes()
+    except zs.ZstdError:  # too little text to train on: the words themselves
+        return _content([word for word, _ in contexts], size)
+
+
+def _word_contexts(found: DataFrame) -> DataFrame:
+    """word, t and o: by how many different words it is preceded in toxic and in other texts. Copies add nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pairs = [*set(pairwise([b"", *words(text)]))]
+                for k in range(0, len(pairs), 1 << 16):
+                    before, word = zip(*pairs[k : k + (1 << 16)], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(word)), pa.array(word, pa.binary()), pa.array(before, pa.binary())], names=["toxic", "word", "before"])
 
-    def z(word: bytes) -> float:
-        expected = (t[word] + o[word]) * share
-        return (t[word] - expected) / expected**0.5
+    pairs = found.select((F.col("toxic") == 1).alias("toxic"), "text").mapInArrow(run, "toxic boolean, word binary, before binary").distinct()
+    return pairs.groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("o"))
 
-    marked = sorted((-z(w), w) for w in t if len(w) >= 4 and t[w] >= 3)
-    return (
-        _content([w for _, w in sorted((-n, w) for w, n in o.items() if w)], BASE_BYTES),
-        _content([w for least, w in marked if -least > LEAST_Z], TOXIC_BYTES),
-    )
+
+def dictionaries(found: DataFrame) -> tuple[bytes, bytes]:
+    """The ordinary dictionary and the toxic one, from labelled texts (toxic, text)."""
+    counts = stored(_word_contexts(found), "contexts")
+    nt, no = counts.agg(F.sum("t"), F.sum("o")).first()
+    expected = (F.col("t") + F.col("o")) * ((nt or 0) / max(1, (nt or 0) + (no or 0)))
+    z = (F.col("t") - expected) / F.sqrt(expected)
+    # A word takes two bytes at least with its space, so more of them can't be in a dictionary.
+    common = counts.where("o > 0 and length(word) > 0").orderBy(F.desc("o"), "word").limit(BASE_BYTES // 2).collect()
+    marked = counts.where((F.col("t") >= LEAST_CONTEXTS) & (F.length("word") > 1) & (z > LEAST_Z))
+    marked = marked.orderBy(z.desc(), "word").limit(TOXIC_BYTES // 3).collect()
+    return _content([bytes(r.word) for r in common], BASE_BYTES), trained([(bytes(r.word), r.t) for r in marked])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50) -> np.ndarray:
@@ -128,28 +151,30 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50
     return w
 
 
-def fold(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 5
-
-
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> dict:
     """A model from labelled rows outside fold 0: dictionaries from folds 1 to 3, weights from fold 4."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    marked = marked.where(fold != 0)
     picked = [marked.where(test).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for test in ("toxic = 1", "toxic <> 1")]
     ids = picked[0].union(picked[1])  # at most 2 * max_rows rows of two numbers
-    found = texts_only(docs).join(F.broadcast(ids), "doc_id").where(F.length("text") <= max_chars).dropDuplicates(["text"])
-    rows = found.select("doc_id", "text", "toxic").collect()  # bounded by the two parameters
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    pick = lambda folds, y: [r.text for r in rows if fold(r.doc_id) in folds and (r.toxic == 1) == y]
-    if not pick((1, 2, 3), True) or not pick((1, 2, 3), False):
+    found = texts_only(docs).join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by("toxic", "doc_id").alias("toxic"))
+    found = stored(found.select("doc_id", "text", "toxic", fold.alias("fold")), "labelled")
+    kinds = {(r.early, r.toxic) for r in found.select((F.col("fold") < 4).alias("early"), (F.col("toxic") == 1).alias("toxic")).distinct().collect()}
+    if not {(True, True), (True, False)} <= kinds:
         return {"ordinary": b"", "toxic": b"", "weights": None}
-    ordinary, toxic = dictionaries(pick((1, 2, 3), True), pick((1, 2, 3), False))
-    tested = (4,) if pick((4,), True) and pick((4,), False) else (1, 2, 3)
-    distance = Distance(ordinary, toxic)
-    x = np.array([distance.features(r.text) for r in rows if fold(r.doc_id) in tested])
-    y = np.array([r.toxic == 1 for r in rows if fold(r.doc_id) in tested], np.float64)
-    return {"ordinary": ordinary, "toxic": toxic, "weights": logistic(x, y)}
+    early = F.col("fold") < 4
+    ordinary, toxic = dictionaries(found.where(early))
+    tested = found.where(~early if {(False, True), (False, False)} <= kinds else early)
+
+    def make():
+        distance = Distance(ordinary, toxic)
+        return lambda keys, texts: {"key": keys, "x": [distance.features(t) for t in texts]}
+
+    rows = map_texts(tested.selectExpr("struct(doc_id, toxic) as key", "text"), make, "key struct<doc_id: long, toxic: int>, x array<double>").collect()  # at most 2 * max_rows
+    rows.sort(key=lambda r: (r.key.doc_id, r.x))
+    weights = logistic(np.array([r.x for r in rows]), np.array([r.key.toxic == 1 for r in rows], np.float64))
+    return {"ordinary": ordinary, "toxic": toxic, "weights": weights}
 
 
 def scorer(model: dict):

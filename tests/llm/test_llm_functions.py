@@ -32,6 +32,7 @@ def ranks():
 
 
 ODD = st.text(st.sampled_from(list("ab stmdrvle'.,$ \n\t\u0085 é日12²ªḰ")), max_size=40)
+SPECIAL = st.lists(st.sampled_from([*"ab \n.é<|", "  ", "<|endoftext|>", "word"]), max_size=14).map("".join)
 
 
 @settings(max_examples=150, deadline=None)
@@ -41,13 +42,27 @@ def test_word_encoder_equals_the_library(words, parts):
     assert [np.frombuffer(x, words.dtype).tolist() for x in got] == [e.ids for e in words.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(SPECIAL)
+def test_special_tokens_are_read_as_the_library_reads_them(words, text):
+    from tokenizers import Tokenizer
+
+    assert np.frombuffer(words([text])[0], words.dtype).tolist() == Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
+    plain = Tokenizer.from_file(BPE)
+    plain.encode_special_tokens = True
+    assert np.frombuffer(token_ids.word_encoder(BPE, True)([text])[0], words.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(ODD, min_size=1, max_size=5))
 def test_rank_encoder_equals_the_library(ranks, parts):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
     got = ranks.encode(parts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(x) for x in parts]
-    assert [ranks.decode(x) for x in got] == [x.encode() for x in parts]
+    assert [ranks.decode(x, ranks.token_ends(x)) for x in got] == [x.encode() for x in parts]
+    for ids, raw in zip(got, (x.encode() for x in parts), strict=True):
+        for a in range(0, len(raw), 3):
+            assert ranks.decode_range(ids, ranks.token_ends(ids), a, a + 5) == raw[a : a + 5]
 
 
 def test_encoders_on_whole_texts(words, ranks):
@@ -269,6 +284,24 @@ def test_turns_read_back(text, role):
     assert "###" not in written[4:] and written.count("</turn>") == 1
 
 
+def slow_fingerprints(samples):
+    """Spectral peaks and their pairs by the definition, frame by frame."""
+    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    frames = max(1, -(-(len(x) - 256) // 128) + 1)
+    x = np.pad(x, (0, max(0, (frames - 1) * 128 + 256 - len(x))))
+    power = [np.abs(np.fft.rfft(x[k * 128 : k * 128 + 256] * np.hanning(256).astype(np.float32))) ** 2 for k in range(frames)]
+    edges, peaks = (2, 12, 28, 60, 128), []
+    for k in range(frames):
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = power[k][a:b].max()
+            before, after = (power[j][a:b].max() if 0 <= j < frames else -1 for j in (k - 1, k + 1))
+            if own > before and own >= after and own > 1:
+                peaks.append((k, a + int(power[k][a:b].argmax())))
+    pairs = [(t, f << 13 | g << 6 | u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 4] if u - t <= 63]
+    pairs.sort()
+    return [h for _, h in pairs], [t for t, _ in pairs], len(peaks)
+
+
 def test_media_is_lossless_and_fingerprints_know_tones():
     for text in TEXTS:
         samples = media.payload(text)
@@ -278,22 +311,39 @@ def test_media_is_lossless_and_fingerprints_know_tones():
     tone = (128 + 100 * np.sin(2 * np.pi * 20 / 256 * t) * (t % 1024 < 512)).astype(np.uint8).tobytes()
     bins, _ = media.band_peaks(tone)
     assert Counter(bins[:, 1].tolist()).most_common(1)[0][0] == 20
-    hashes, frames, _ = media.fingerprint(tone)
+    hashes, frames, peaks = media.fingerprint(tone)
+    assert (hashes.tolist(), frames.tolist(), peaks) == slow_fingerprints(tone)
     assert len(hashes) == len(frames) > 0 and (np.diff(frames) >= 0).all()
     whole = media.band_peaks(tone * 40)
     assert len(whole[0]) == (len(tone) * 40 - 256) // 128 + 1
 
 
-def test_toxic_dictionary_holds_what_toxic_texts_share():
-    toxic, plain = [t for t in TEXTS if "scumbag" in t], [t for t in TEXTS[:40]]
-    ordinary, extra = toxicity.dictionaries(toxic, plain)
+def test_toxic_dictionary_holds_what_toxic_texts_share(spark):
+    rows = [(1, t) for t in TEXTS if "scumbag" in t] + [(0, t) for t in TEXTS[:40]]
+    ordinary, extra = toxicity.dictionaries(spark.createDataFrame(rows, "toxic int, text string"))
     assert b"scumbag" in extra and b"scumbag" not in ordinary
     d = toxicity.Distance(ordinary, extra)
     assert d(b"scumbag") > 2 and d(b"bacedi") <= 2
     assert d.features("")[0] == 0
 
 
+def test_contexts_of_words(spark):
+    rows = [(1, "a b a b. A"), (1, "a b"), (0, "c b, a"), (0, "")]
+    want = Counter()
+    for toxic, pairs in ((1, {(b"", b"a"), (b"a", b"b"), (b"b", b"a")}), (0, {(b"", b"c"), (b"c", b"b"), (b"b", b"a")})):
+        for _, word in pairs:
+            want[word, toxic] += 1
+    got = {bytes(r.word): (r.t, r.o) for r in toxicity._word_contexts(spark.createDataFrame(rows, "toxic int, text string")).collect()}
+    assert got == {w: (want[w, 1], want[w, 0]) for w, _ in want}
+
+
+def test_trainer_takes_what_it_can_get():
+    assert toxicity.trained([]) == b"" and toxicity.trained([(b"ab", 3)]) == b"ab "
+    many = [(f"word{i}".encode(), 50 - i) for i in range(40)]
+    assert toxicity.trained(many) == toxicity.trained(many) and b"word0" in toxicity.trained(many)
+
+
 def test_ranks_file_reads_as_its_tokens(ranks):
     first = open(RANKS, "rb").readline().split()
     assert ranks.tokens[int(first[1])] == base64.b64decode(first[0])
-    assert hashlib.sha256(ranks.decode(ranks.encode(["x y"])[0])).digest() == hashlib.sha256(b"x y").digest()
+    assert hashlib.sha256(ranks.decode(ranks.encode(["x y"])[0], np.array([1, 3]))).digest() == hashlib.sha256(b"x y").digest()

@@ -1,7 +1,6 @@
 """The registered queries against brute force over a small fixture, and their edge cases."""
 
 import hashlib
-import re
 import zlib
 from collections import defaultdict
 
@@ -10,12 +9,12 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from test_llm_functions import components, slow_base, slow_counts, slow_fingerprint
+from test_llm_functions import components, slow_base, slow_counts, slow_fingerprint, slow_fingerprints
 from test_near_copies import slow_kept
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import byte_bpe, chat, quality, queries, secret_scan, simhash, token_binary, toxicity
+from tidemark.llm import byte_bpe, chat, media, quality, queries, secret_scan, simhash, token_binary, toxicity
 from tidemark.llm.queries import BYTE_BPE, MULTI_RANKS, QUERIES
 
 
@@ -26,7 +25,6 @@ def collect(spark, name, path):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -70,6 +68,11 @@ def test_op3(spark, tables, rows):
     assert sorted(map(tuple, collect(spark, "op3_byte_bpe", tables)), key=str) == sorted(want, key=str)
 
 
+def test_op3_decodes_by_its_offsets(spark, docs):
+    decoded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, MULTI_RANKS), MULTI_RANKS)
+    assert sorted(((r.doc_id, r.text) for r in decoded.collect()), key=str) == sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=str)
+
+
 def test_op4(spark, tables, rows):
     got = collect(spark, "op4_simhash", tables)
     known = sorted({(i, slow_fingerprint(t or "")) for i, t, *_ in rows if i is not None})
@@ -138,6 +141,11 @@ def test_op6(spark, tables, rows):
     for r in got:
         by[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
     assert all(len(x) == 1 for x in by.values())
+    for i, t, *_ in rows:
+        hashes, frames, peaks = slow_fingerprints(media.payload(t or ""))
+        pairs = zlib.crc32(";".join(",".join(map(str, x)) for x in (hashes, frames)).encode())
+        (_, _, feature), = by[hashlib.sha256(media.payload(t or "")).hexdigest()]
+        assert feature == f"{peaks}:{len(hashes)}:{pairs:08x}"
 
 
 def test_op7(spark, tables):
@@ -155,14 +163,36 @@ def test_op7(spark, tables):
         assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-
-
-def test_op7_examples(spark, tables):
-    written = chat.format_conversations(spark.read.parquet(f"{tables}/conversations.parquet"))
-    got = chat.example_texts(written).where("conv_id = 1").orderBy("example").collect()
-    assert [len(chat.parse(r.text)) for r in got] == [2, 4]
-    assert [chat.unescape(r.text[r.target_start : r.target_end]) for r in got] == ["</turn> \\h yes", ""]
-    assert chat.examples(written).count() == 3
+        assert r.formatted_chars == sum(len(chat.format_turn(*t)[0]) for t in turns)
+
+
+def slow_examples(turns):
+    """(conv_id, example, text, reply) by brute force, from (conv_id, turn, role, text)."""
+    by, out = defaultdict(list), []
+    for conv, turn, role, text in turns:
+        by[conv].append((turn, role or "", text or ""))
+    for conv, own in by.items():
+        own.sort()
+        replies = [i for i, (_, role, _) in enumerate(own) if role == "assistant"]
+        for k, i in enumerate(replies):
+            out.append((conv, k, "".join(chat.format_turn(r, t)[0] for _, r, t in own[: i + 1]), own[i][2]))
+    return out
+
+
+@pytest.mark.parametrize("piece", [1, 1 << 20])
+def test_op7_examples(spark, tables, monkeypatch, piece):
+    monkeypatch.setattr(chat, "PIECE", piece)
+    turns = spark.read.parquet(f"{tables}/conversations.parquet")
+    turns = turns.unionByName(spark.createDataFrame([(9, i, ("user", "assistant", "tool")[i * 7 % 3], f"said {i} </turn>") for i in range(60)], turns.schema))
+    expanded = chat.expand(turns)
+    got = chat.example_texts(expanded).collect()
+    want = slow_examples([tuple(r) for r in turns.select("conv_id", "turn", "role", "text").collect()])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    shown = [(r.conv_id, r.example, r.text, chat.unescape(r.text[r.target_start : r.target_end])) for r in got]
+    assert sorted(shown, key=key) == sorted(want, key=key)
+    assert expanded.where("example is not null").count() == turns.where("role = 'assistant'").count() == len(want)
+    # Each turn is stored once, however many examples have it as context.
+    assert sum(len(r.text) for r in expanded.collect()) == sum(len(chat.format_turn(r.role or "", r.text or "")[0]) for r in turns.collect())
 
 
 def test_op8(spark, tables, rows):
@@ -180,7 +210,7 @@ def test_op8_learns_nothing_from_held_out_rows(spark, tables, docs):
     labels = spark.read.parquet(f"{tables}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, turned)
-    assert a["toxic"] == b["toxic"] and (a["weights"] == b["weights"]).all()
+    assert a["toxic"] == b["toxic"] and a["ordinary"] == b["ordinary"] and (a["weights"] == b["weights"]).all()
 
 
 def check_packing(got, want_pieces):
@@ -266,11 +296,3 @@ def test_extra_columns_change_nothing(spark, tables, tmp_path, name):
     drop = ("sequence_id", "offset")
     plain = lambda df: sorted(map(str, df.drop(*drop).collect()))
     assert plain(QUERIES[name](spark, str(tmp_path))) == plain(QUERIES[name](spark, tables))
-
-
-def test_sources_have_no_forbidden_calls():
-    from pathlib import Path
-
-    root = Path(corpus_pipeline.__file__).parent
-    code = "\n".join(p.read_text() for p in [*root.glob("tidemark/**/*.py"), root / "corpus_pipeline.py"])
-    assert not re.search(r"localCheckpoint|crossJoin|\.limit\(\d", code)

@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import steps, stored, texts_only
 from .token_ids import word_encoder
 
+#: Up to so many rows of three numbers are broadcast: 2 MB.
+SMALL = 100_000
+
 
 def fill_bins(counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """(times, [(length, how many)]) for every combination, given how many pieces have each length."""
@@ -72,11 +75,13 @@ def _fullest(left: list[int], space: int) -> dict[int, int]:
     return taken
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids, and place: partition and rank in it among its length."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, *, with_ids: bool = True, plain_specials: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, place (partition and rank in it among its length) and, if asked, ids."""
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "rank": pa.int64()}
+    kinds |= {"ids": pa.binary()} if with_ids else {}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer)
+        encode = word_encoder(tokenizer, plain_specials)
         end, seen, part = np.array([end_id], encode.dtype).tobytes(), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in steps(batches, "text"):
             rows = []
@@ -85,22 +90,23 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                 first = len(ids) % capacity or capacity
                 for i, a in enumerate([0, *range(first, len(ids), capacity)]):
                     own = ids[a : first if not i else a + capacity]
-                    rows.append((key, i, a, len(own), zlib.crc32(own.tobytes()), own.astype(encode.dtype).tobytes(), part, int(seen[len(own)])))
+                    row = (key, i, a, len(own), zlib.crc32(own.tobytes()), part, int(seen[len(own)]))
+                    rows.append((*row, own.astype(encode.dtype).tobytes()) if with_ids else row)
                     seen[len(own)] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "rank"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=[*kinds])
 
-    return texts_only(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, rank long")
+    return texts_only(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, *, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, *, with_ids: bool = True, plain_specials: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset: sequences of at most ``capacity`` ids, gapless from 0."""
     spark = docs.sparkSession
-    made = stored(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    made = stored(pieces(docs, tokenizer, end_id, capacity, with_ids=with_ids, plain_specials=plain_specials), "pieces")
     by_part = made.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = stored(by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    if bases.count() <= SMALL:  # else both sides are dealt by part and length
+        bases = F.broadcast(bases)
     counts = [0] * (capacity + 1)
     for row in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         counts[row.length] = row.n

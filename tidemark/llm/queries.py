@@ -43,14 +43,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(stored(media.encode_media(table(spark, sf_dir, "documents")), "media"))
+    kept = stored(media.encode_media(table(spark, sf_dir, "documents")), "media")
+    return media.features(stored(media.fingerprints(kept), "fingerprints"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(stored(chat.format_conversations(conversations.unionByName(more)), "chat"))
+    return chat.read_back(stored(chat.expand(conversations.unionByName(more)), "examples"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ all lanes of a block are decoded side by side. A block holds whole documents: th
 to BLOCK_IDS ids ends it, and any block can be read without the others.
 
 Rows: null texts count as empty; a document without ids except the end id still has its row; repeated
-doc_ids stay separate documents, in order of their ids; rows with a null doc_id come first.
+doc_ids stay separate documents, in order of their ids; rows with a null doc_id come first. Ids take two
+bytes while they are coded if the vocabulary has up to 65,536 of them, else four.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared_dir, stored, texts_only
-from .token_ids import id_dtype, word_encoder
+from .common import discard, map_texts, shared_dir, stored, texts_only
+from .token_ids import ended, id_dtype, word_encoder
 
 MAX_BITS, LANE, BLOCK_IDS = 16, 128, 1 << 18
 
@@ -113,16 +114,16 @@ def decode_block(payload: bytes, checkpoints: bytes, n: int, table: tuple[np.nda
     return out.T.reshape(-1)[:n]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian, with the end id) of every document."""
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, *, plain_specials: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian, of ``id_dtype(vocabulary)``, with the end id) of every document."""
+    dtype = id_dtype(vocabulary)
 
     def make():
-        encode = word_encoder(tokenizer)
-        end = np.array([end_id], encode.dtype).tobytes()
+        encode = word_encoder(tokenizer, plain_specials)
 
         def work(keys, texts):
-            ids = [x + end for x in encode(texts)]
-            return {"doc_id": keys, "n_tokens": [len(x) // encode.dtype.itemsize for x in ids], "ids": ids}
+            ids = ended(encode, texts, end_id, dtype)
+            return {"doc_id": keys, "n_tokens": [len(x) // dtype.itemsize for x in ids], "ids": ids}
 
         return work
 
@@ -155,15 +156,15 @@ def token_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
 _BLOCK = "part int, block long, start long, doc_ids array<long>, doc_lens array<long>, n_ids long, payload binary, checkpoints binary"
 
 
-def write_token_file(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, path: str | None = None) -> str:
-    """Encode ``docs`` and write their ids in ascending doc_id order; returns the file's path.
+def write_token_file(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, path: str | None = None, *, plain_specials: bool = False) -> str:
+    """Encode ``docs`` and write their ids, below ``vocabulary``, in ascending doc_id order; returns the file's path.
 
     Two passes over the ids, since the code needs all counts first: the ids are stored once, counted,
     range-partitioned by doc_id and coded.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/tidemark/tokens-{uuid.uuid4().hex}"
-    encoded = stored(encode_documents(docs, tokenizer, end_id), "ids")
+    encoded = stored(encode_documents(docs, tokenizer, end_id, vocabulary, plain_specials=plain_specials), "ids")
     lengths = code_lengths(token_counts(encoded, vocabulary))
     codes, dtype = canonical_codes(lengths), id_dtype(vocabulary)
 
@@ -193,6 +194,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
     blocks = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(write, _BLOCK)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
+    discard(encoded)
     return path
 
 

@@ -4,6 +4,9 @@ A single U+0020 between two characters that are not white space always begins a
 the space can only attach to what follows it. Cutting a text there and encoding the parts one by one
 therefore gives the library's ids for the whole text, and natural text repeats its parts. Parts that
 are plain Latin words go straight to the library's merge model, others through its whole encoder.
+
+The string of a special token in a text is that token, as the library reads it, unless ``plain_specials``
+makes it ordinary text. A vocabulary with a special token that has white space in it is not cut into parts.
 """
 
 from __future__ import annotations
@@ -62,15 +65,19 @@ class _Words(dict):
 
 
 class WordEncoder:
-    """Encodes texts to bytes of little-endian ids (``dtype``), special tokens read as plain text."""
+    """Encodes texts to bytes of little-endian ids (``dtype``)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = id_dtype(self.tokenizer.get_vocab_size() + 1)
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = not plain_specials and any(c.isspace() for t in added for c in t)
+        # Parts of letters alone are looked up without the library's search for added tokens.
+        self.whole |= any(t.isalpha() for t in added)
+        self.dtype = id_dtype(self.tokenizer.get_vocab_size())
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.space = self.letters[32]
@@ -94,6 +101,9 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, words = [], self.words
         for text in texts:
+            if self.whole:
+                out.append(self._whole(text))
+                continue
             parts = parts_of(text)
             parts[0] = self._whole(parts[0]) if parts[0] else b""
             parts[1:] = map(words.__getitem__, parts[1:])
@@ -104,6 +114,14 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process and vocabulary file."""
-    return WordEncoder(path)
+def word_encoder(path: str, plain_specials: bool = False) -> WordEncoder:
+    """One encoder for each worker process, vocabulary file and reading of special tokens."""
+    return WordEncoder(path, plain_specials)
+
+
+def ended(encode: WordEncoder, texts: list[str], end_id: int, dtype: np.dtype) -> list[bytes]:
+    """Ids of each text and the end id, as ``dtype``."""
+    end = np.array([end_id], dtype).tobytes()
+    if encode.dtype == dtype:
+        return [x + end for x in encode(texts)]
+    return [np.frombuffer(x, encode.dtype).astype(dtype).tobytes() + end for x in encode(texts)]

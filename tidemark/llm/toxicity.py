@@ -98,14 +98,18 @@ def _content(ranked: list[bytes], size: int) -> bytes:
 
 
 def trained(contexts: list[tuple[bytes, int]], size: int = TOXIC_BYTES, samples: int = SAMPLES) -> bytes:
-    """What zstandard's trainer makes of windows of the words, each as often as it has contexts."""
+    """What zstandard's trainer makes of windows of the words, each as often as it has contexts, in a fixed
+    random order: the trainer takes its segments from parts of equal size, in which all words must stand."""
+    import random
+
     import zstandard as zs
 
     total = sum(n for _, n in contexts)
     share = min(1.0, samples / max(1, total))
     windows = [(b" " + word + b" ").ljust(8) for word, n in contexts for _ in range(max(1, round(n * share)))]
+    random.Random(42).shuffle(windows)
     try:
-        return zs.train_dictionary(size, windows).as_bytes()
+        return zs.train_dictionary(size, windows, k=50, d=8).as_bytes()
     except zs.ZstdError:  # too little text to train on: the words themselves
         return _content([word for word, _ in contexts], size)
 

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
-from tidemark.llm import byte_bpe, chat, html_extract, media, packing, quality, secret_scan, simhash, token_binary, token_ids, toxicity
+from tidemark.llm import byte_bpe, chat, html_extract, labelled_pages, media, packing, quality, secret_scan, simhash, token_binary, token_ids, toxicity
 
 TEXTS = [t or "" for t in texts()]
 BPE, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -269,6 +269,70 @@ def test_pages():
     assert html_extract.main_text("just text") == "just text"
 
 
+def test_wrappers_do_not_silence_their_article():
+    for wrap in ("<div class='has-sidebar'>{}</div>", "<div id=page class='with-header'>{}</div>", "<section class='share-wrap'>{}</section>", "<form id=all>{}</form>"):
+        page = "<body>" + wrap.format("<article><h1>A day out</h1><p>we went to the lake and stayed there until it was dark</p><p>it was fine.</p></article>") + "<footer>all of it ours</footer>"
+        assert html_extract.main_text(page) == "A day out\nwe went to the lake and stayed there until it was dark\nit was fine."
+
+
+def test_links_and_breaks_inside_of_blocks():
+    page = "<body><article><p><a href=1>Many people</a> came to see the new bridge,<br>and <a href=2>they</a> stayed &lt;long&gt;.</p><ul><li><a href=3>up</a></li><li><a href=4>down</a></li></ul></article>"
+    assert html_extract.main_text(page) == "Many people came to see the new bridge, and they stayed <long>."
+
+
+def plain(page):
+    for mark in ("[[", "]]", "{{", "}}"):
+        page = page.replace(mark, "")
+    return page
+
+
+def test_labelled_pages_are_told_from_the_others():
+    """Fitted on all, every page comes out as labelled; fitted on the others, nearly all of its article does."""
+    pages, precision = labelled_pages.PAGES, []
+    for i, page in enumerate(pages):
+        read, inside = html_extract._labels(page)
+        truth = Counter(w for t, label in zip(read.texts, inside, strict=True) if label for w in t.split())
+        assert Counter(html_extract.main_text(plain(page)).split()) == truth
+        got = Counter(html_extract.main_text(plain(page), html_extract.weights(pages[:i] + pages[i + 1 :])).split())
+        assert (got & truth).total() >= 0.95 * truth.total()
+        precision.append((got & truth).total() / got.total())
+    assert sum(precision) / len(precision) > 0.7
+
+
+def test_the_scan_decides(monkeypatch):
+    """Starting from one word's block alone, or from weights of nothing, gives other texts."""
+    pages = [plain(p) for p in labelled_pages.PAGES]
+    full = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "best_region", lambda scores: (int(scores.argmax()), int(scores.argmax()) + 1))
+    assert sum(html_extract.main_text(p) == t for p, t in zip(pages, full, strict=True)) <= 2
+    monkeypatch.undo()
+    flat = {k: (1.0 if not k.startswith("tag") else v) for k, v in html_extract.weights().items() if k in ("word", "link") or k.startswith("tag")}
+    assert not any(html_extract.main_text(p, flat) == t for p, t in zip(pages, full, strict=True) if "<article>" in p)
+
+
+def test_pages_of_the_smallest_tables():
+    """The articles that a pattern finds in these pages, which all mark them by one element."""
+    import html
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist():
+        blocks = re.split(r"</?(?:p|h1)\b[^>]*>", re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1])
+        blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in blocks]
+        assert html_extract.main_text(page) == "\n".join(b for b in blocks if b)
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    deep = "<div class=x><b>" * 40_000 + "<p>some words stand here in the very middle of it all, as they do" + "</b></div>" * 40_000
+    assert html_extract.main_text(deep).startswith("some words")
+    assert len(html_extract.main_text("<p>words of a long page that goes on and on, as it seems.<i>" * 40_000)) > 1_000_000
+    assert html_extract.main_text("<p>" * 100_000 + "</div>" * 100_000 + "<li><td>" * 50_000) == ""
+    assert time.time() - began < 30
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from(list("<>/apdiv \"'=!-&;#x1")), max_size=80))
 def test_broken_pages_never_fail(page):

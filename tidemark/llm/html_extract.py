@@ -1,14 +1,17 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page is read once into blocks of text and tags. Words score positive and tags negative, each by the
-kind of place it stands in, with weights from labelled pages: the log odds of its kind inside and
-outside of the marked article. One linear scan finds the contiguous region with the largest sum. The
-region is then widened to the smallest element that holds it, so that a short first or last paragraph
-isn't lost to the tags around it, and the blocks in it that stand in menus, forms, adverts, notices,
-sidebars, comments or the like are left out.
-
-Rows: a null or empty page gives an empty text, as does one without words outside of such places.
+A page is read once into blocks of text and tags. The score of a word follows from where it stands: in a
+link, in which elements, under which class names, ids and roles. The weights of these places are
+fitted on labelled pages (:mod:`labelled_pages`) by logistic regression, so words of an article score above
+zero; tags score below it, each kind by its log odds inside and outside of the labelled articles. One linear scan
+finds the contiguous region with the largest sum. The region is then widened to the smallest element
+that holds its words, as far as that isn't the body, since a long advert may cut off a short end; and
+blocks in it whose words score below zero in all are left out. What an element is named does not count if it
+wraps the page's article: if it holds more than half of its words and a main heading, an article or a main element.
+
+Rows: a null or empty page gives an empty text, as does one without words that score above zero.
 Markup may be broken: what isn't closed ends with what encloses it, and an unknown end tag is nothing.
+Depth of nesting costs no more than length.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
+from .labelled_pages import PAGES
 
-# HTML's own element kinds, and words that name boilerplate in classes, ids and roles.
+# HTML's own element kinds.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -31,7 +35,6 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 HIDDEN = frozenset("head script style template noscript iframe object canvas svg math textarea title xmp noembed noframes".split())
-ASIDE = frozenset("nav footer aside form menu dialog button select fieldset".split())
 #: What a start tag closes if it is still open.
 CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -39,44 +42,66 @@ CLOSES = {
 }
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 HOLDS = frozenset("article aside body div footer header main nav section table ul ol dl td th li form html".split())
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies "
-    "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo "
-    "related share sharing sidebar social sponsor sponsored subscribe toolbar widget banner complementary contentinfo".split()
-)
+#: Elements that say nothing of what they hold.
+NEUTRAL = frozenset("#root body center div html section".split())
+#: Elements out of which no p is closed.
+SCOPE = frozenset("body button caption html table td th".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-
-#: Labelled pages: the article stands between the marks [[ and ]].
-LABELLED = (
-    "<body><div class=top><a href=1>home</a> <a href=2>news</a> <a href=3>sport</a></div><nav><ul><li><a href=4>one</a></li><li><a href=5>two things"
-    "</a></li><li><a href=6>three</a></li></ul></nav><div class=ad>buy this now</div><article>[[<h1>what happened on the hill</h1><p>it was a long "
-    "day and <a href=7>many people</a> came up the hill to see the new bridge that was built</p><p>they stayed until the evening, when the lamps were "
-    "lit and the <b>music</b> began</p><p>so it ended.</p>]]</article><footer>copyright someone <a href=8>terms</a> <a href=9>privacy</a></footer></body>",
-    "<body><table><tr><td><a href=1>index</a><br><a href=2>search</a></td><td>[[<h2>a short report</h2><p>the committee met twice this year and agreed "
-    "on all of the points that had been left open before<p>no other matters were raised and the meeting was closed early in the afternoon<ul><li>the "
-    "first point was carried by all who were there</li><li>the second point was put off</li></ul>]]</td></tr></table><div><form><input><button>send "
-    "</button></form></div><div><a href=3>back</a> | <a href=4>up</a> | <a href=5>next</a></div></body>",
-    "<body><header><div><a href=1>a site</a></div><div>sign in</div></header><div id=content><div>[[<p>when water is heated in an open pot it boils at a "
-    "temperature that depends on the height above the sea</p><blockquote><p>nobody had noticed this before</p></blockquote><p>today the effect is "
-    "well known and taught in <i>every</i> school</p>]]</div></div><div class=comments><div><b>reader</b> nice text</div><div><b>other</b> i don't "
-    "agree</div></div><aside><h3>more</h3><ul><li><a href=2>a story</a></li><li><a href=3>another story</a></li></ul></aside></body>",
-)
+_NEUTRAL = {"<" + name for name in NEUTRAL}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
+_NAMED, _SPLIT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE), re.compile(r"[^a-z]+")
+#: Kinds of tags with a score of their own, the weight of the ridge, and the most that a word can score.
+TAGS, RIDGE, MOST = frozenset("div h1 h2 h3 li p td ul".split()), 1.0, 3.0
+#: How firmly a word in no special place is held to score one.
+BIAS_RIDGE = 200.0
+#: Texts between two tags of fewer words are short, of so many long.
+SHORT, LONG = 5, 10
+
+class _Open:
+    """The open elements, with where each kind of them stands, so that none has to be searched for."""
+
+    def __init__(self):
+        self.names, self.places = ["#root"], [(0, False, False)]  # of each: number, hidden, in a link
+        self.at: dict[str, list[int]] = {}
+        self.holds, self.scopes, self.blocks = [], [], [0]
+
+    def push(self, name: str, place: tuple) -> None:
+        i = len(self.names)
+        self.names.append(name)
+        self.places.append(place)
+        for own, there in self._lists(name):
+            if there:
+                own.append(i)
+
+    def _lists(self, name: str):
+        return (self.at.setdefault(name, []), True), (self.holds, name in HOLDS), (self.scopes, name in SCOPE), (self.blocks, name not in INLINE)
+
+    def cut(self, i: int) -> None:
+        """Close the i-th element and all in it."""
+        while len(self.names) > i:
+            self.places.pop()
+            for own, there in self._lists(self.names.pop()):
+                if there:
+                    own.pop()
+
+    def last(self, name: str) -> int:
+        own = self.at.get(name)
+        return own[-1] if own else 0
 
 
 class Page:
     """A page in reading order: blocks of text, tags, and which element holds each."""
 
     def __init__(self, text: str):
-        self.items: list[tuple[str, int, bool, str]] = []  # kind, words, aside, text; "" as text for a tag
-        self.holders: list[int] = []  # element of each item
-        self.parents, self.names = [-1], ["#root"]
+        self.kinds: list[str] = []  # "word", "link" or "tag" and its kind
+        self.texts: list[str] = []  # "" for a tag
+        self.holders: list[int] = []  # element of each
+        self.parents, self.names, self.tokens = [-1], ["#root"], [frozenset()]
+        self.open = _Open()
         self._read(text)
 
     def _read(self, text: str) -> None:
-        # Of each open element: name, number, whether hidden, boilerplate, in a link, in an article.
-        stack: list[tuple[str, int, bool, bool, bool, bool]] = [("#root", 0, False, False, False, False)]
         at, size = 0, len(text)
         while at < size:
             mark = text.find("<", at)
@@ -86,7 +111,7 @@ class Page:
                 found = _TOKEN.match(text, mark) if mark >= 0 else None
             end = mark if mark >= 0 else size
             if end > at:
-                self._text(text[at:end], stack[-1])
+                self._text(text[at:end])
             if not found:
                 return
             at = found.end()
@@ -94,78 +119,140 @@ class Page:
             if not name:
                 continue
             if found[1]:
-                self._close(stack, name)
+                self._close(name)
+            elif name in RAW:
+                close = _RAW_END[name].search(text, at)
+                at = close.end() if close else size
             else:
-                if name in RAW:
-                    close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(text, at)
-                    at = close.end() if close else size
-                    continue
-                self._open(stack, name, found[3])
-
-    def _open(self, stack: list, name: str, attributes: str) -> None:
-        if name in ENDS_P and any(x[0] == "p" for x in stack[-4:]):
-            self._close(stack, "p")
+                self._start(name, found[3])
+
+    def _start(self, name: str, attributes: str) -> None:
+        stack = self.open
+        if name in ENDS_P and stack.last("p") > (stack.scopes[-1] if stack.scopes else 0):
+            self._close("p")
         for other in CLOSES.get(name, ()):
-            for x in reversed(stack):
-                if x[0] == other:
-                    self._close(stack, other)
-                if x[0] in HOLDS and x[0] != other:
-                    break
+            if (i := stack.last(other)) and i >= (stack.holds[-1] if stack.holds else 0):
+                self._close(other)
         if name not in INLINE:
-            self._tag(name, stack[-1])
+            self._tag(name)
         if name in VOID:
             if name == "br":
-                self._text(" ", stack[-1])
+                self._text(" ")
             return
-        _, holder, hidden, aside, link, in_article = stack[-1]
-        named = {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-        aside = aside or name in ASIDE or (name == "header" and not in_article) or (name not in ("body", "html", "article", "main") and bool(named & NAMES) and not (name == "header" and in_article))
+        holder, hidden, link = stack.places[-1]
         if name not in INLINE:
             self.parents.append(holder)
             self.names.append(name)
+            self.tokens.append(frozenset(w for m in _NAMED.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w))
             holder = len(self.names) - 1
-        stack.append((name, holder, hidden or name in HIDDEN, aside, link or name == "a", in_article or name in ("article", "main")))
-
-    def _close(self, stack: list, name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == name:
-                if name not in INLINE:
-                    self._tag(name, stack[i - 1])
-                del stack[i:]
-                return
-            if name in INLINE and stack[i][0] not in INLINE:
-                return
-
-    def _tag(self, name: str, top: tuple) -> None:
-        if self.items and self.items[-1][3]:
-            self.items.append(("|", 0, False, ""))
-            self.holders.append(top[1])
-        self.items.append(("tag " + (name if name in ("p", "h1", "h2", "h3", "li", "div", "td", "ul") else "other"), 1, False, ""))
-        self.holders.append(top[1])
+        stack.push(name, (holder, hidden or name in HIDDEN, link or name == "a"))
 
-    def _text(self, raw: str, top: tuple) -> None:
-        _, holder, hidden, aside, link, _ = top
-        if hidden:
+    def _close(self, name: str) -> None:
+        stack = self.open
+        i = stack.last(name)
+        if not i or (name in INLINE and stack.blocks[-1] > i):
             return
-        text = html.unescape(raw)
-        self.items.append((f"word{' link' * link}{' aside' * aside}", len(text.split()), aside, text))
-        self.holders.append(holder)
-
-
-@lru_cache(maxsize=1)
-def weights() -> dict[str, float]:
-    """Score of a word or tag by kind: log odds inside and outside of the labelled articles."""
-    counts = {}
-    for page in LABELLED:
-        inside = 0
-        for kind, n, _, text in Page(page.replace("[[", "<br>\x02").replace("]]", "\x03<br>")).items:
-            inside += text.count("\x02") - text.count("\x03")
-            c = counts.setdefault(kind, [0.5, 0.5])
-            c[0 if inside > 0 else 1] += n
-    odds = {k: float(np.log(c[0] / c[1])) for k, c in counts.items()}
-    # Tags cost, plain words gain, whatever a few labelled pages say of single kinds.
-    tags = [v for k, v in odds.items() if k.startswith("tag")]
-    return {k: min(v, max(tags), -0.2) if k.startswith("tag") else v for k, v in odds.items()} | {"|": 0.0}
+        stack.cut(i)
+        if name not in INLINE:
+            self._tag(name)
+
+    def _tag(self, name: str) -> None:
+        self._add("tag " + (name if name in TAGS else "other"), "")
+
+    def _text(self, raw: str) -> None:
+        _, hidden, link = self.open.places[-1]
+        if not hidden:
+            self._add("link" if link else "word", html.unescape(raw))
+
+    def _add(self, kind: str, text: str) -> None:
+        self.kinds.append(kind)
+        self.texts.append(text)
+        self.holders.append(self.open.places[-1][0])
+
+    def features(self) -> list[list[str]]:
+        """What is new on the way to each element: its kind and names, unless an element around it has them.
+
+        The names of an element that wraps the article don't count, nor does its kind.
+        """
+        words, marked = [0] * len(self.names), [name in ("article", "main", "h1") for name in self.names]
+        for holder, text in zip(self.holders, self.texts, strict=True):
+            words[holder] += len(text.split())
+        for x in range(len(self.names) - 1, 0, -1):  # parents come before their children
+            words[self.parents[x]] += words[x]
+            marked[self.parents[x]] |= marked[x]
+        out, path, around = [], [], set()
+        for x, name in enumerate(self.names):
+            while path and path[-1][0] != self.parents[x]:
+                around.difference_update(path.pop()[1])
+            wraps = 2 * words[x] > words[0] and marked[x] and name not in ("article", "main", "h1")
+            new = [] if wraps else [f for f in sorted({"." + t for t in self.tokens[x]} | ({"<" + name} - _NEUTRAL)) if f not in around]
+            around.update(new)
+            path.append((x, new))
+            out.append(new)
+        return out
+
+
+    def blocks(self) -> list[str]:
+        """For every item, how long the text between the tags around it is."""
+        words, number = [0], []
+        for kind, text in zip(self.kinds, self.texts, strict=True):
+            if kind.startswith("tag"):
+                words.append(0)
+            words[-1] += len(text.split())
+            number.append(len(words) - 1)
+        size = ["short" if n < SHORT else "long" if n >= LONG else "" for n in words]
+        return [size[i] for i in number]
+
+
+def _labels(page: str) -> tuple[Page, list[bool]]:
+    """A labelled page, and whether each of its items stands in the article."""
+    for mark, code in (("[[", "\x02"), ("]]", "\x03"), ("{{", "\x03"), ("}}", "\x02")):
+        page = page.replace(mark, f"<br>{code}<br>")
+    read, inside, out = Page(page), False, []
+    for i, text in enumerate(read.texts):
+        inside = (inside or "\x02" in text) and "\x03" not in text
+        read.texts[i] = text.strip("\x02\x03")
+        out.append(inside)
+    return read, out
+
+
+@lru_cache(maxsize=16)
+def weights(pages: tuple[str, ...] = PAGES) -> dict[str, float]:
+    """The weight of every place of a word, and the score of every kind of tag, from labelled pages."""
+    rows, y, n, tags = [], [], [], {}
+    for page in pages:
+        read, inside = _labels(page)
+        own = read.features()
+        full = [set(own[0])]
+        for x in range(1, len(own)):
+            full.append(full[read.parents[x]] | set(own[x]))
+        for kind, text, holder, size, label in zip(read.kinds, read.texts, read.holders, read.blocks(), inside, strict=True):
+            if kind.startswith("tag"):
+                tags.setdefault(kind, [0.5, 0.5])[0 if label else 1] += 1
+            elif words := len(text.split()):
+                rows.append(full[holder] | {kind, size} - {"word", ""})
+                y.append(label)
+                n.append(words)
+    names = sorted(set().union(*rows))
+    x = np.array([[f in row for f in names] + [1] for row in rows], float)
+    y, n, w = np.array(y, float), np.array(n, float), np.zeros(len(names) + 1)
+    ridge, mean = np.append(np.full(len(names), RIDGE), BIAS_RIDGE), np.append(np.zeros(len(names)), 1.0)
+    for _ in range(30):  # Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (n * (y - p)) - ridge * (w - mean))
+    odds = {k: min(-0.2, float(np.log(c[0] / c[1]))) for k, c in tags.items()}
+    return dict(zip([*names, "word"], w.tolist(), strict=True)) | odds
+
+
+def scores(page: Page, weight: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Score of every item in all, and of one of its words."""
+    places = np.zeros(len(page.names))
+    for x, new in enumerate(page.features()):
+        places[x] = (places[page.parents[x]] if x else weight["word"]) + sum(weight.get(f, 0.0) for f in new)
+    each = places[page.holders] + [weight.get(s, 0.0) + (weight["link"] if k == "link" else 0.0) for s, k in zip(page.blocks(), page.kinds, strict=True)]
+    each = np.clip(each, -MOST, MOST)
+    tag = np.array([weight.get(k, weight["tag other"]) if k.startswith("tag") else 0.0 for k in page.kinds])
+    return np.where(tag < 0, tag, each * [len(t.split()) for t in page.texts]), each
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
@@ -180,43 +267,42 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return found
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, weight: dict[str, float] | None = None) -> str:
     """The article's blocks, each with its white space collapsed, joined by line feeds."""
     read = Page(page)
-    if not read.items:
+    if not read.kinds:
         return ""
-    weight = weights()
-    scores = np.array([weight.get(kind, weight["tag other"]) * n for kind, n, _, _ in read.items])
-    begin, end = best_region(scores)
+    score, each = scores(read, weight or weights())
+    begin, end = best_region(score)
     if begin == end:
         return ""
-    # The element that holds the whole region, unless that is the page itself. Elements are numbered in
+    # The element that holds the region's words, unless that is the page itself. Elements are numbered in
     # the order in which they open, so what holds the first and the last of them holds all.
-    held = {read.holders[i] for i in range(begin, end) if read.items[i][3].strip() and not read.items[i][2]}
-    x, y = min(held, default=0), max(held, default=0)
+    held = [read.holders[i] for i in range(begin, end) if each[i] > 0 and read.texts[i].strip()]
+    x, y = min(held), max(held)
     while x != y:
         x, y = min(x, y), read.parents[max(x, y)]
-    while x and read.names[x] not in HOLDS:
-        x = read.parents[x]
-    holder = x
-    within = {holder}
-    if read.names[holder] not in ("body", "html", "#root"):
-        for x in range(1, len(read.names)):  # parents come before their children
-            if read.parents[x] in within:
-                within.add(x)
-        chosen = [i for i, x in enumerate(read.holders) if x in within]
-    else:
-        chosen = range(begin, end)
-    blocks, current, last = [], [], None
+    while begin and not read.kinds[begin - 1].startswith("tag"):
+        begin -= 1
+    while end < len(score) and not read.kinds[end].startswith("tag"):
+        end += 1
+    chosen = range(begin, end)
+    if read.names[x] not in ("body", "html", "#root"):
+        within = {x}
+        for z in range(x + 1, len(read.names)):
+            if read.parents[z] in within:
+                within.add(z)
+        chosen = [i for i, z in enumerate(read.holders) if z in within]
+    blocks, current, total, last = [], [], 0.0, -2
     for i in chosen:
-        kind, _, aside, text = read.items[i]
-        if not kind.startswith("word") or (last is not None and i != last + 1):
-            blocks.append("".join(current))
-            current = []
-        if kind.startswith("word") and not aside:
-            current.append(text)
+        if read.kinds[i].startswith("tag") or i != last + 1:
+            blocks.append("".join(current) if total > 0 else "")
+            current, total = [], 0.0
+        if not read.kinds[i].startswith("tag"):
+            current.append(read.texts[i])
+            total += score[i]
         last = i
-    blocks.append("".join(current))
+    blocks.append("".join(current) if total > 0 else "")
     return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 

@@ -48,6 +48,68 @@ def test_mixed_letters_and_digits_alone():
 def test_what_repeats_or_is_words_stays():
     for plain in (
         "key: " + "abcdefghijklmnopqrstuvwxyz0123456789" * 40, "key " + "z" * 2000, "the key is a Donaudampfschifffahrtsgesellschaft here",
+        "the key is X-Amz-Content-Sha256 ok", "the key is src/main/java/org/apache/Foo2 ok", "key: getElementByIdAndVersion3", "key: MAX_RETRY_COUNT_V2",
+        "the token of user-agent-string-2024-01-15", "secret path node_modules/lodash/index4 here", "key thisIsACamelCaseName2 and 2024-01-15T10-22-33",
         "key:\n" + "\n".join(["config_default_timeout_value2"] * 30), "the key to getUserAuthenticationDetails is",
     ):
         assert secret_scan.scan(plain) == []
+
+
+PROSE = "the harbour was quiet that morning and nobody had opened the gates yet so we walked along the wall to the mill".split()
+FORMS = ("private key: {}", "Authorization: Bearer {}", "the signing key is kept as follows in the vault where nobody looks: {}", "webhook = '{}'", "credential\n{}", "auth({})")
+
+
+def planted(rng):
+    """A text, and the places of the random strings in it, known from how it was made."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabet = rng.choice((letters + digits, letters.upper() + letters + digits, letters.upper() + digits))
+    text, places = " ".join(rng.choices(PROSE, k=rng.randint(0, 60))) + "\n", []
+    for _ in range(rng.randint(0, 3)):
+        key = "".join(rng.choices(alphabet, k=rng.choice([24, 32, 40, 64, 200, 700, 2000])))
+        form = rng.choice(FORMS)
+        at = len(text) + form.index("{}")
+        text += form.format(key) + "\n" + " ".join(rng.choices(PROSE, k=rng.randint(5, 60))) + "\n\n"
+        places.append((at, at + len(key)))
+    return text, places
+
+
+def test_planted_strings_are_found_and_nothing_else():
+    rng, found, all_, wrong = random.Random(11), 0, 0, 0
+    for _ in range(400):
+        text, places = planted(rng)
+        spans = [(a, b) for kind, a, b in secret_scan.scan(text) if kind == "novel"]
+        found += sum(p in spans for p in places)
+        all_ += len(places)
+        wrong += sum(s not in places for s in spans)
+    assert found >= 0.99 * all_ and not wrong
+
+
+@pytest.mark.parametrize("n", [300, 440, 460, 480, 512, 1000, 2000])
+def test_keys_of_letters_and_digits_of_any_length(n):
+    rng = random.Random(n)
+    for _ in range(20):
+        key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+        assert covered(f'private_key: "{key}"') == 'private_key: "[SECRET]"'
+
+
+def test_identifiers_of_the_corpus_are_no_secrets(spark):
+    rng = random.Random(3)
+    name = "kQ7vZx2pLm9TtRw4_bHn8sYd"  # looks random, but is used all over the corpus
+    rows = [(i, f"{' '.join(rng.choices(PROSE, k=6))} number {i} key {name} is set") for i in range(30)]
+    once = "zP3nWq8LxV5tBk2M_rGc7hJf"
+    rows += [(100 + i, f"copied text with its key {once} inside") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    identifiers = secret_scan.corpus_identifiers(docs)
+    assert name.encode() in identifiers and once.encode() not in identifiers
+    spans = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.secrets(docs).collect()}
+    assert all(spans[i] == ([] if i < 100 else ["novel"]) for i in spans)
+
+
+def test_covered_lengths():
+    rng = random.Random(5)
+    for _ in range(100):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 9)))]
+        known = secret_scan._Covered(spans)
+        for a in range(0, 70, 7):
+            for b in range(a, 75, 5):
+                assert known(a, b) == sum(any(x <= i < y for x, y in spans) for i in range(a, b))

@@ -136,25 +136,6 @@ def _novel(text: str, start: int, end: int, identifiers: bytes) -> list[tuple[in
     return [(start, end)] if 2 * len(found) >= len(cuts) - 1 else found
 
 
-def _chains(text: str) -> list[list[tuple[int, int]]]:
-    """For every sensitive word, the candidates within reach and what adjoins them, in runs that adjoin."""
-    places = [m.span() for m in _CANDIDATE.finditer(text)]
-    starts, following, chains = [a for a, _ in places], 0, []
-    for word in _SENSITIVE.finditer(text):
-        i = max(bisect_left(starts, word.end()), following)
-        while i < len(places) and starts[i] <= word.end() + CONTEXT and text.count("\n", word.end(), starts[i]) < 2:
-            chain = [places[i]]
-            i += 1
-            while i < len(places) and _JOIN.fullmatch(text, chain[-1][1], starts[i]):
-                chain.append(places[i])
-                i += 1
-            chains.append(chain)
-        following = max(following, i)
-        if following == len(places):
-            break
-    return chains
-
-
 class _Covered:
     """How much of a stretch spans cover, however many there are."""
 
@@ -174,10 +155,38 @@ class _Covered:
         i = bisect_left(self.starts, x) - 1
         return self.before[i] + min(x, self.ends[i]) - self.starts[i] if i >= 0 else 0
 
+    def end_of(self, x: int) -> int:
+        """Where what covers ``x`` ends; 0 if nothing does."""
+        i = bisect_left(self.starts, x + 1) - 1
+        return self.ends[i] if i >= 0 and self.ends[i] > x else 0
+
     def __call__(self, a: int, b: int) -> int:
         return self.upto(b) - self.upto(a)
 
 
+def _chains(text: str, known: _Covered) -> list[list[tuple[int, int]]]:
+    """For every sensitive word, the candidates within reach and what adjoins them, in runs that adjoin.
+
+    A word that is part of a span known has its value there, and reaches no further than that.
+    """
+    places = [m.span() for m in _CANDIDATE.finditer(text)]
+    starts, following, chains = [a for a, _ in places], 0, []
+    for word in _SENSITIVE.finditer(text):
+        i = max(bisect_left(starts, word.end()), following)
+        reach = known.end_of(word.start()) or word.end() + CONTEXT
+        while i < len(places) and starts[i] <= reach and text.count("\n", word.end(), starts[i]) < 2:
+            chain = [places[i]]
+            i += 1
+            while i < len(places) and _JOIN.fullmatch(text, chain[-1][1], starts[i]):
+                chain.append(places[i])
+                i += 1
+            chains.append(chain)
+        following = max(following, i)
+        if following == len(places):
+            break
+    return chains
+
+
 def scan(text: str, identifiers: bytes = b"") -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start and then kind."""
     low = text.lower()
@@ -192,7 +201,7 @@ def scan(text: str, identifiers: bytes = b"") -> list[tuple[str, int, int]]:
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
     known = _Covered([(a, b) for _, a, b in found])
     # Only what stands within reach of a sensitive word is looked at.
-    for chain in _chains(text):
+    for chain in _chains(text, known):
         ends = 0
         for start, end in chain:
             base = known(start, end)

@@ -73,6 +73,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html, op2_token_binary, op3_byte_bpe, op4_simhash, op5_quality, op6_media, op7_chat, op8_toxicity, op9_packing, op10_secrets)
 }
 
-#: By query, DuckDB SQL for the same rows. The operators rest on tokenizers, XXH64, EM, compression and
-#: encoders that SQL doesn't have; tests/llm holds them against brute force and exact round trips.
-ORACLE_SQL: dict[str, str] = {}
+#: By query, DuckDB SQL for the same rows. The other operators rest on tokenizers, XXH64, EM, compression,
+#: CRC-32 and learned weights, which SQL doesn't have; tests/llm holds them against brute force and round trips.
+ORACLE_SQL: dict[str, str] = {
+    # A turn takes "### ", role, a line feed, text, "</turn>" and a line feed; each escape takes a character more:
+    # of backslashes, of "#" before "##", of "</turn>" and, in roles, of line feeds.
+    "op7_chat": r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (SELECT *, length(role) + length(text) + 13 + length(role) - length(replace(role, chr(10), ''))
+  + list_sum([length(x) - length(replace(x, '\', '')) + (length(x) - length(replace(x, '</turn>', ''))) // 7
+    + coalesce(list_sum(list_transform(regexp_extract_all(x, '#{3,}'), lambda h: length(h) - 2)), 0) FOR x IN [role, text]]) AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id""",
+}

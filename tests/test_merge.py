@@ -126,3 +126,12 @@ def test_views_are_mutations(spark):
     assert [r.tenth for r in views.tiered(views.events(events)).orderBy("seq").collect()] == [3, 6]
     empty = views.tiered(views.events(events.where(F.lit(False))))
     assert empty.count() == 0
+
+
+def test_bounds_of_padded_keys_reach_the_scan(spark):
+    from tidemark.plans import kv
+
+    for name in ("kv_point_get", "kv_range_scan", "kv_prefix_scan"):
+        plan = kv.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        pushed = next(x for x in plan.splitlines() if "PushedFilters" in x).split("PushedFilters:")[1]
+        assert "user_id" in pushed.split("ReadSchema")[0]

@@ -189,3 +189,54 @@ def test_a_full_log_is_flushed(spark, tmp_path):
     assert store.flush_if_full() and store.manifest["log_bytes"] == 0
     assert not store.flush_if_full()
     assert store.live().count() == 2
+
+
+def test_of_two_writers_one_gets_the_next_version(spark, tmp_path):
+    files = manifest.Files(spark, str(tmp_path / "claims"))
+    first = manifest.publish(files, manifest.empty())
+    late = dict(first)
+    second = manifest.publish(files, first | {"last_seq": 5})
+    with pytest.raises(Conflict):
+        manifest.publish(files, late)
+    # Another writer has claimed the version but not replaced the manifest: its claim counts.
+    assert files.replace("MANIFEST-00000003", files.read("MANIFEST").replace(b'"version": 2', b'"version": 3'), over=False)
+    assert not files.replace("MANIFEST-00000003", b"{}", over=False)
+    with pytest.raises(Conflict):
+        manifest.publish(files, second)
+    third = manifest.load(files)
+    assert (third["version"], third["last_seq"]) == (3, 5)
+    assert manifest.publish(files, third)["version"] == 4
+
+
+def test_vacuum_removes_what_cut_off_writes_left(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "cut"))
+    store.put(spark.createDataFrame([(b"k", b"v")], "key binary, value binary"))
+    for name in ("log/.staged-000099", "data/000098"):
+        (tmp_path / "cut" / name).mkdir(parents=True)
+    (tmp_path / "cut" / ".MANIFEST-x.tmp").write_bytes(b"{")
+    assert sorted(store.vacuum(0)) == [".MANIFEST-x.tmp", "data/000098", "log/.staged-000099"]
+    assert store.get(b"k") == b"v"
+
+
+def test_tables_are_read_by_range_filter_and_block(spark, tmp_path):
+    rows = [(n, f"k{n}{i:03d}".encode(), i, 1, b"v") for n in (1, 2) for i in range(0, 200, 2)]
+    placed = spark.createDataFrame(rows, "file_num long, key binary, seq long, op int, value binary")
+    for path in (str(tmp_path / "plain"), f"file:{tmp_path}/one", f"file://{tmp_path}/three"):
+        binary.write_files(binary.encode_tables(placed, block_size=64), path, "sst")
+        asked = [(n, f"k{n}{i:03d}".encode()) for n in (1, 2) for i in range(200)]
+        got = binary.table_get(spark, path, spark.createDataFrame(asked, "file_num long, key binary")).collect()
+        assert {(r.file_num, bytes(r.key)) for r in got} == set(asked) and len(got) == len(asked)
+        assert all((r.seq is not None) == (int(r.key[2:]) % 2 == 0) and (r.passed or r.seq is None) for r in got)
+        assert sum(r.passed for r in got) < 250  # most absent keys stop at the filter
+    binary_keys, binary.KEYS_A_TASK = binary.KEYS_A_TASK, 7
+    try:
+        split = binary.table_get(spark, path, spark.createDataFrame(asked, "file_num long, key binary")).collect()
+    finally:
+        binary.KEYS_A_TASK = binary_keys
+    assert sorted(map(str, split)) == sorted(map(str, got))
+
+
+def test_files_are_cut_by_bytes(spark):
+    rows = spark.createDataFrame([(f"k{i:04d}".encode(), i, 1, b"x" * 100) for i in range(1000)], "key binary, seq long, op int, value binary")
+    sizes = [r["count"] for r in binary.by_size(rows, 12_200).groupBy("file_num").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200 and sum(sizes) == 1000

@@ -31,11 +31,6 @@ def file_meta(records: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def span(files: DataFrame) -> DataFrame:
-    """The least and the greatest key of a set of files."""
-    return files.agg(F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
-
-
 def small(files: DataFrame, limit: int = BROADCAST_FILES) -> DataFrame:
     """``files`` marked for broadcast, if their number allows it."""
     return F.broadcast(files) if files.count() <= limit else files

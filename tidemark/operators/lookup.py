@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import EmptyKey, NotFound
-from tidemark.operators.merge import latest, live
+from tidemark.operators.merge import live
 
 
 def point_get(mutations: DataFrame, key) -> DataFrame:
-    """The live row of one key, if there is one; the key's filter reaches the scan."""
+    """The live row of one key, if there is one. The key's filter passes below the aggregate, and reaches the
+    scan where the key is a stored column."""
     if not len(key):
         raise EmptyKey("a key has at least a byte")
     return live(mutations.where(F.col("key") == F.lit(key)))
@@ -46,7 +47,7 @@ def missing_keys(mutations: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def scan(mutations: DataFrame, low=None, high=None, prefix: str | None = None) -> DataFrame:
-    """Live rows with low <= key < high, or with a prefix; the filters reach the scan."""
+    """Live rows with low <= key < high, or with a prefix; filters reach the scan as in :func:`point_get`."""
     rows = mutations
     for test in (low is not None and F.col("key") >= F.lit(low), high is not None and F.col("key") < F.lit(high), prefix and F.col("key").startswith(prefix)):
         rows = rows.where(test) if test is not False and test is not None else rows
@@ -75,7 +76,3 @@ def restarts_of(records: DataFrame, block_size: int, group: str = "file_num") ->
     placed = records.select(group, "key", at.alias("offset")).withColumn("_block", F.floor(F.col("offset") / block_size))
     return placed.groupBy(group, "_block").agg(F.min(F.struct("offset", "key")).alias("_first")).select(group, "_first.key", "_first.offset")
 
-
-def count_versions(mutations: DataFrame) -> DataFrame:
-    """Versions and newest version of every key."""
-    return latest(mutations).join(mutations.groupBy("key").agg(F.count("*").alias("versions")), "key")

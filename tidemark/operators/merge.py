@@ -64,12 +64,6 @@ def first_hit(tiers: DataFrame, priority: str) -> DataFrame:
     return picked.select("key", F.col("_hit._priority").alias(priority), (-F.col("_hit._age")).alias("seq"), "_hit.op", "_hit.value")
 
 
-def sorted_by_key(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows in key order: ranges of keys over the partitions, each sorted."""
-    dealt = df.repartitionByRange(partitions, "key") if partitions else df.repartitionByRange("key")
-    return dealt.sortWithinPartitions("key", F.desc("seq"))
-
-
 def ranked(df: DataFrame, *order) -> DataFrame:
     """``df`` with ``rank`` from 0 in the order of columns, without gathering it in one task.
 

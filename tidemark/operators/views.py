@@ -19,6 +19,13 @@ def padded(prefix: str, column: str):
     return F.format_string(f"{prefix}-%08d", F.col(column))
 
 
+def numbered(column: str, low: str, high: str | None = None):
+    """The test of a padded key's bounds (low <= key < high, or key = low) on the number it is made of, which,
+    unlike the key, the scan can filter by. For numbers of up to eight digits, whose keys sort as they do."""
+    own, number = F.col(column), lambda key: F.lit(int(key.rsplit("-", 1)[1]))
+    return own == number(low) if high is None else (own >= number(low)) & (own < number(high))
+
+
 def events(df: DataFrame) -> DataFrame:
     return mutations(df, padded("u", "user_id"), F.col("event_id"), F.col("props"), F.col("event_type") == "error")
 

@@ -6,6 +6,7 @@ where it lies, in order, which is all the order that a log needs, as versions ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from tidemark.sources import manifest
 
 _MUTATION = [("key", pa.binary()), ("seq", pa.int64()), ("op", pa.int8()), ("value", pa.binary())]
 _MUTATION_DDL = "key binary, seq long, op byte, value binary"
-ROWS = 8192
+ROWS, KEYS_A_TASK = 8192, 100_000
 
 
 def _files(spark: SparkSession, path: str | list[str], suffix: str) -> DataFrame:
@@ -89,18 +90,25 @@ def read_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def table_meta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file_num, size, min_key, max_key, num_entries, blocks and filter bytes of sorted tables, keys from the data."""
-    fields = [("file_num", pa.int64()), ("size", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary()), ("num_entries", pa.int64()), ("blocks", pa.int64()), ("bloom", pa.binary())]
+    """file_num, size, min_key, max_key, num_entries, blocks and filter_bytes of sorted tables, keys from the data."""
+    fields = [("file_num", pa.int64()), ("size", pa.int64()), ("min_key", pa.binary()), ("max_key", pa.binary()), ("num_entries", pa.int64()), ("blocks", pa.int64()), ("filter_bytes", pa.int64())]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for num, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 table = codec.Table(data)
                 keys = [m.key for m in table.records(table.index[-1][1] if table.index else 0)]
-                bloom = table.bloom.encode() if table.bloom else None
+                bloom = len(table.bloom.encode()) if table.bloom else 0
                 yield _out([[num], [len(data)], [table.index[0][0] if table.index else None], [keys[-1] if keys else None], [table.entries], [len(table.index)], [bloom]], fields)
 
-    return _files(spark, path, "sst").mapInArrow(parse, "file_num long, size long, min_key binary, max_key binary, num_entries long, blocks long, bloom binary")
+    return _files(spark, path, "sst").mapInArrow(parse, "file_num long, size long, min_key binary, max_key binary, num_entries long, blocks long, filter_bytes long")
+
+
+def by_size(mutations: DataFrame, target: int, order: str = "seq") -> DataFrame:
+    """``mutations`` with ``file_num`` from 1: ranges of ``order`` of about ``target`` bytes of records each, so
+    that a file, which a task holds whole, stays that size however many there are."""
+    total = mutations.agg(F.coalesce(F.sum(record_size()), F.lit(0))).first()[0]
+    return mutations.repartitionByRange(max(1, -(-total // target)), order).withColumn("file_num", (F.spark_partition_id() + 1).cast("long"))
 
 
 def _grouped(mutations: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -137,11 +145,15 @@ def encode_tables(mutations: DataFrame, by: str = "file_num", block_size: int =
 
 
 def write_files(encoded: DataFrame, path: str, suffix: str) -> int:
-    """Write (file_num, content) as ``NNNNNN.suffix`` files into a folder that pyarrow reaches; returns how many.
+    """Write (file_num, content) as ``NNNNNN.suffix`` files into a folder that pyarrow reaches, given as Spark
+    gives it (a path or a URI such as ``file:/x``); returns how many.
 
     Each is written under a temporary name and renamed, so a task that is run again leaves whole files.
     """
-    uri = path if "://" in path else f"file://{path}"
+    spark = encoded.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    uri = re.sub(r"^file:/+", "file:///", uri)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -161,6 +173,37 @@ def write_files(encoded: DataFrame, path: str, suffix: str) -> int:
     return encoded.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def table_get(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """file_num, key and whether the filter lets it pass, and what the table has of it (seq, op, value, all null
+    if it has nothing), for rows (file_num, key) of ``wanted``: tables that may hold a key by their range.
+
+    A table's keys are probed in its filter first, and only a key that passes is looked for in its block. The
+    table comes with its keys to one task; keys beyond KEYS_A_TASK of a table go to several, each with its own copy.
+    """
+    fields = [("file_num", pa.int64()), ("key", pa.binary()), ("passed", pa.bool_()), *_MUTATION[1:]]
+    keys = wanted.select(F.col("file_num").cast("long").alias("file_num"), F.col("key").cast("binary").alias("key"))
+    parts = keys.groupBy("file_num").agg(F.ceil(F.count("*") / KEYS_A_TASK).alias("parts"))
+    rows = keys.join(parts, "file_num").select("file_num", F.expr("pmod(xxhash64(key), parts)").alias("part"), "key", F.lit(None).cast("binary").alias("content"))
+    tables = _files(spark, path, "sst").join(parts, "file_num").select("file_num", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("key"), "content")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table = None, None
+        for batch in batches:
+            nums, parts, keys, contents = (c.to_pylist() for c in batch.columns)
+            out = []
+            for num, part, key, content in zip(nums, parts, keys, contents, strict=True):
+                if content is not None:
+                    own, table = (num, part), codec.Table(content)
+                elif own == (num, part):
+                    passed = table.bloom is None or bool(table.bloom.may_contain([key])[0])
+                    found = table.get(key) if passed else None
+                    out.append((num, key, passed, *(found[1:] if found else (None,) * 3)))
+            yield from _split(out, fields)
+
+    dealt = tables.unionByName(rows).repartition("file_num", "part").sortWithinPartitions("file_num", "part", F.col("content").isNull(), "key")
+    return dealt.mapInArrow(look, "file_num long, key binary, passed boolean, seq long, op byte, value binary")
+
+
 def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The mutations of a directory of binary files, and its logs as :func:`logs` has them.
 

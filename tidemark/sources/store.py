@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import time
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,16 +230,18 @@ class Store:
             n += 1
 
     def vacuum(self, older_than: float = 3600.0) -> list[str]:
-        """Remove folders that the snapshot doesn't name and that have not changed for some seconds."""
+        """Remove folders that the snapshot doesn't name, and what writes that were cut off have left, if it has
+        not changed for some seconds."""
         self._open()
         keep = {f"log/{n:06d}" for n in self.manifest["log"]} | {f"data/{f['path'].split('/')[0]}" for f in self.file_rows()}
+        names = [f"{folder}/{name}" for folder in ("log", "data") for name in self.files.names(folder)]
+        names += [name for name in self.files.names() if name.endswith(".tmp")]
         gone = []
-        for folder in ("log", "data"):
-            for name in self.files.names(folder):
-                status = self.files.fs.getFileStatus(self.files.path(f"{folder}/{name}"))
-                if f"{folder}/{name}" not in keep and time.time() - status.getModificationTime() / 1000 >= older_than:
-                    self.files.delete(f"{folder}/{name}")
-                    gone.append(f"{folder}/{name}")
+        for name in names:
+            status = self.files.fs.getFileStatus(self.files.path(name))
+            if name not in keep and time.time() - status.getModificationTime() / 1000 >= older_than:
+                self.files.delete(name)
+                gone.append(name)
         left = [n for n in self.manifest["obsolete_wal_nums"] if f"log/{n:06d}" not in gone]
         if left != self.manifest["obsolete_wal_nums"]:
             self._publish(obsolete_wal_nums=left)
@@ -266,7 +267,3 @@ class Store:
         self.flush()
         self.closed = True
 
-
-def union_of(stores: list[Store]) -> DataFrame:
-    """Versions of several stores together, for one merged reading."""
-    return reduce(DataFrame.unionByName, (s.mutations() for s in stores))

@@ -26,14 +26,14 @@ def texts_only(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that ``column`` holds about STEP_BYTES in each; a longer row comes alone."""
+def steps(batches: Iterator[pa.RecordBatch], column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that ``column`` holds about ``size`` bytes in each; a longer row comes alone."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(sizes):
             n = 0 if n != n else int(n)
-            if i > start and total + n > STEP_BYTES:
+            if i > start and total + n > size:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
@@ -42,7 +42,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordB
 
 
 def map_texts(
-    docs: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, column: str = "text"
+    docs: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, column: str = "text", size: int = STEP_BYTES
 ) -> DataFrame:
     """Run ``make()(keys, texts)`` over Arrow batches of a (key, text) table.
 
@@ -56,7 +56,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in steps(batches, column):
+        for batch in steps(batches, column, size):
             made = work(batch.column(key).to_pylist(), batch.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 

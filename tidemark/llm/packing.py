@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import steps, stored, texts_only
-from .token_ids import word_encoder
+from .token_ids import CALL_BYTES, word_encoder
 
-#: Up to so many rows of three numbers are broadcast: 2 MB.
+#: Up to so many rows of three numbers are broadcast: 15 MB as measured.
 SMALL = 100_000
 
 
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, *, with_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer, plain_specials)
         end, seen, part = np.array([end_id], encode.dtype).tobytes(), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", CALL_BYTES):
             rows = []
             for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(ids + end, encode.dtype).astype("<u4")

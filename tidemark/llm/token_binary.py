@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, map_texts, shared_dir, stored, texts_only
-from .token_ids import ended, id_dtype, word_encoder
+from .token_ids import CALL_BYTES, ended, id_dtype, word_encoder
 
 MAX_BITS, LANE, BLOCK_IDS = 16, 128, 1 << 18
 
@@ -127,7 +127,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
 
         return work
 
-    return map_texts(texts_only(docs), make, "doc_id long, n_tokens long, ids binary")
+    return map_texts(texts_only(docs), make, "doc_id long, n_tokens long, ids binary", size=CALL_BYTES)
 
 
 def token_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:

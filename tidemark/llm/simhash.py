@@ -40,7 +40,7 @@ HOT_SHARD, TASK_ENTRIES, LEVELS = 200_000, 500_000, 4
 #: Up to so many rows of one number are broadcast: 1 MB.
 SMALL = 100_000
 #: Entries of a leaf, children of a node, and node pairs compared at a time.
-LEAF, FANOUT, FRONTIER = 8, 4, 1 << 18
+LEAF, FANOUT, FRONTIER = 8, 4, 1 << 16
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -350,8 +350,8 @@ COPY_BANDS, COPY_ROWS = 32, 4
 #: Texts of a star that go to one task, and sets and their shingles in a task that indexes them, apart from a
 #: single larger pair. Clusters of more than CLUSTER_BLOCKS halves of a task are indexed by band.
 STAR, TASK_SETS, TASK_SHINGLES, CLUSTER_BLOCKS = 2000, 1000, 1 << 20, 16
-#: Words of the bit sets that a task holds: 128 MB.
-DENSE_WORDS = 1 << 24
+#: Words of the bit sets that a task holds: 64 MB.
+DENSE_WORDS = 1 << 23
 
 
 @lru_cache(maxsize=1)
@@ -416,7 +416,7 @@ class Overlaps:
         self.rest = np.split(column[~dense], np.cumsum(self.more)[:-1])
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out, step = np.zeros(len(x), bool), max(1, (1 << 21) // self.bits.shape[1])
+        out, step = np.zeros(len(x), bool), max(1, (1 << 19) // self.bits.shape[1])
         for k in range(0, len(x), step):
             a, b = x[k : k + step], y[k : k + step]
             common = np.bitwise_count(self.bits[a] & self.bits[b]).sum(1, dtype=np.int64)

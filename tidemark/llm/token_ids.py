@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Longer parts are encoded but not kept, and the cache is aged at so many entries: about 200 MB at most.
-CACHED_CHARS, CACHE_ENTRIES = 48, 500_000
+#: Longer parts are encoded but not kept, and the cache is aged at so many entries: about 150 MB at most.
+CACHED_CHARS, CACHE_ENTRIES = 48, 250_000
 #: Bytes of text that are best encoded in one call, and parts whose ids are gathered at a time.
-CALL_BYTES = 8 << 20
+CALL_BYTES = 4 << 20
 GATHERED = 1 << 18
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ʯ]+")

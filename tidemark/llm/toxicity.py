@@ -39,7 +39,7 @@ LEVEL = 12
 #: Text that occurs nowhere: it opens and ends every window.
 OPEN, CLOSE = bytes(range(128, 176)), bytes(range(12))
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 def words(text: str) -> list[bytes]:

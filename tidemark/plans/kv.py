@@ -8,7 +8,6 @@ is the memtable, 8 the immutable one, 7 to 5 are three files of level 0, 4 to 2
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,23 +20,13 @@ from tidemark.operators import compact as compaction
 from tidemark.operators import files, lookup, merge, stats, views
 from tidemark.options import Options
 from tidemark.sources import binary
-from tidemark.sources.shared import shared_dir, stored
+from tidemark.sources.shared import folder, stored
 from tidemark.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, which goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
-
-
 def query(sql: str | None = None):
     """Register a query under its function's name, with SQL for the same rows if SQL has it."""
 
@@ -274,7 +263,7 @@ def kv_out_of_order_fold(spark, sf_dir):
 @query("SELECT key, seq, value FROM ev_live")
 def kv_store_lifecycle(spark, sf_dir):
     """Log batches by tenth, a flush after each, compaction, and the live state read from the store."""
-    store = Store(spark, _folder(spark, "store"), Options(l0_compaction_trigger=3, base_level_size=64 << 10, target_file_size=32 << 10))
+    store = Store(spark, folder(spark, "store"), Options(l0_compaction_trigger=3, base_level_size=64 << 10, target_file_size=32 << 10))
     ev = views.tiered(_ev(spark, sf_dir))
     for low, high in ((0, 3), (4, 7), (8, 9)):
         store.import_mutations(ev.where(F.col("tenth").between(low, high)))
@@ -371,7 +360,7 @@ ORACLE_SQL["kv_bloom_probe"] = (
     "count(*) FILTER (op = 2) AS deletes, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes FROM ev"
 )
 def kv_wal_frames(spark, sf_dir):
-    path = _folder(spark, "wal")
+    path = folder(spark, "wal")
     binary.write_files(binary.encode_logs(binary.by_size(_ev(spark, sf_dir), LOG_BYTES)), path, "log")
     return binary.log_frames(spark, path).agg(
         F.count("*").alias("frames"), F.count_if(F.col("status") == "ok").alias("ok"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
@@ -382,7 +371,7 @@ def kv_wal_frames(spark, sf_dir):
 @query("SELECT key, seq, op, value FROM ev")
 def kv_wal_roundtrip(spark, sf_dir):
     """All mutations, written as logs of a bounded size and replayed from them."""
-    path = _folder(spark, "wal")
+    path = folder(spark, "wal")
     binary.write_files(binary.encode_logs(binary.by_size(_ev(spark, sf_dir), LOG_BYTES)), path, "log")
     return _plain(binary.read_logs(spark, path))
 
@@ -397,7 +386,7 @@ LOG_BYTES = 1 << 20
 
 @query("SELECT level, file_num, num_entries, min_key, max_key FROM ev_files")
 def kv_table_roundtrip(spark, sf_dir):
-    path = _folder(spark, "sst")
+    path = folder(spark, "sst")
     binary.write_files(binary.encode_tables(_placed(spark, sf_dir)), path, "sst")
     meta = binary.read_tables(spark, path).groupBy("file_num").agg(F.count("*").alias("num_entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
     level = F.when(F.col("file_num") < 10, 0).otherwise((F.col("file_num") / 10).cast("int"))
@@ -410,7 +399,7 @@ def kv_table_roundtrip(spark, sf_dir):
 )
 def kv_table_lookup(spark, sf_dir):
     """Batched reads of sorted tables: by key ranges first, then by filters, then in one block of a table."""
-    path = _folder(spark, "sst")
+    path = folder(spark, "sst")
     placed = stored(_placed(spark, sf_dir), "placed")
     binary.write_files(binary.encode_tables(placed), path, "sst")
     asked = _asked(spark, sf_dir).distinct()
@@ -429,7 +418,7 @@ _BAD_TAIL, _BAD_MIDDLE = 7, 4
 
 def _damaged(spark: SparkSession, sf_dir: str, *, corrupt: bool) -> str:
     """A folder of logs by tenth, some of them damaged as a crash or a disk would."""
-    path = _folder(spark, "wal")
+    path = folder(spark, "wal")
     encoded = binary.encode_logs(views.tiered(_ev(spark, sf_dir)).withColumnRenamed("tenth", "file_num"))
 
     def damage(batches):
@@ -477,7 +466,7 @@ def kv_torn_replay(spark, sf_dir):
 @query("SELECT key, seq, value FROM ev_live")
 def kv_directory_roundtrip(spark, sf_dir):
     """A directory of binary tables with its manifest, written and read back, logs beside them included."""
-    path, ev = _folder(spark, "directory"), views.tiered(_ev(spark, sf_dir))
+    path, ev = folder(spark, "directory"), views.tiered(_ev(spark, sf_dir))
     binary.write_directory(merge.latest(ev.where("tenth < 6").select("key", "seq", "op", "value")), path, Options(target_file_size=LOG_BYTES))
     # Tombstones go from a lone level; the versions after it come from logs.
     binary.write_files(binary.encode_logs(ev.where("tenth >= 6").withColumn("file_num", F.col("tenth") + 100)), path, "log")
@@ -513,13 +502,13 @@ def _state(store: Store) -> DataFrame:
 
 @query(_CUSTOMERS + "SELECT key, value FROM state WHERE op = 1")
 def kv_put_delete(spark, sf_dir):
-    return _state(_customers(spark, sf_dir, Store(spark, _folder(spark, "store"))))
+    return _state(_customers(spark, sf_dir, Store(spark, folder(spark, "store"))))
 
 
 @query(_CUSTOMERS + "SELECT key, value FROM state WHERE op = 1")
 def kv_reopen(spark, sf_dir):
     """What a store says that was opened again: first with all in its log, then with a file below it."""
-    path = _folder(spark, "store")
+    path = folder(spark, "store")
     _customers(spark, sf_dir, Store(spark, path))
     Store(spark, path).flush()
     return _state(Store(spark, path))
@@ -530,7 +519,7 @@ def kv_append_batch(spark, sf_dir):
     """Puts and deletes of one batch are published together; a batch that comes again changes nothing."""
     rows = _table(spark, sf_dir, "customer").withColumn("key", views.padded("c", "c_custkey"))
     op = F.when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_acctbal") < 0, 2).otherwise(1)
-    store = Store(spark, _folder(spark, "store"))
+    store = Store(spark, folder(spark, "store"))
     for _ in range(2):
         store.append(rows.select("key", op.alias("op"), F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("value")), stream=("customers", 0))
     if store.manifest["last_seq"] != rows.count():
@@ -546,7 +535,7 @@ def kv_append_batch(spark, sf_dir):
 )
 def kv_store_stats(spark, sf_dir):
     """All counters after puts, deletes, two reads and a flush of what came before the last puts."""
-    store = Store(spark, _folder(spark, "store"))
+    store = Store(spark, folder(spark, "store"))
     steps = iter((None, store.flush, None))
 
     def after(_):
@@ -570,7 +559,7 @@ def kv_store_stats(spark, sf_dir):
 )
 def kv_flush_when_full(spark, sf_dir):
     """A log that holds as much as a memtable is flushed before more is written."""
-    store = Store(spark, _folder(spark, "store"), Options(memtable_size=1024))
+    store = Store(spark, folder(spark, "store"), Options(memtable_size=1024))
     _customers(spark, sf_dir, store, lambda s: s.flush_if_full())
     return spark.createDataFrame([(store.counters["flushes"], store.live().count())], "flushes long, live_keys long")
 
@@ -578,7 +567,7 @@ def kv_flush_when_full(spark, sf_dir):
 @query(_CUSTOMERS + "SELECT CAST(1 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS left_over, (SELECT count(*) FROM state WHERE op = 1) AS live_keys")
 def kv_close_and_vacuum(spark, sf_dir):
     """A store is closed once, and after compaction and vacuum its folders are those that the snapshot names."""
-    path, refused = _folder(spark, "store"), 0
+    path, refused = folder(spark, "store"), 0
     store = _customers(spark, sf_dir, Store(spark, path, Options(l0_compaction_trigger=2)), lambda s: s.flush())
     store.close()
     try:
@@ -602,15 +591,15 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
-        source, path = spark.read.parquet(path), _folder(spark, "events")
+        source, path = spark.read.parquet(path), folder(spark, "events")
         source.write.mode("overwrite").parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def _to_store(spark: SparkSession, newest: DataFrame) -> DataFrame:
     """What a stream of newest versions, written to a store as they change, leaves there."""
-    store = Store(spark, _folder(spark, "store"))
-    writer = newest.writeStream.outputMode("update").option("checkpointLocation", _folder(spark, "checkpoint"))
+    store = Store(spark, folder(spark, "store"))
+    writer = newest.writeStream.outputMode("update").option("checkpointLocation", folder(spark, "checkpoint"))
     writer.foreachBatch(lambda batch, _: store.import_mutations(batch)).trigger(availableNow=True).start().awaitTermination()
     return _plain(merge.latest(store.mutations()))
 
@@ -636,8 +625,8 @@ def kv_stream_ingest(spark, sf_dir):
     """A stream of puts and deletes into a store; the same stream from its beginning changes nothing."""
     from tidemark.streaming.ingest import ingest
 
-    store = Store(spark, _folder(spark, "store"), Options(memtable_size=1 << 16))
+    store = Store(spark, folder(spark, "store"), Options(memtable_size=1 << 16))
     rows = views.events(_stream(spark, sf_dir)).select(F.col("key").cast("binary").alias("key"), "op", F.col("value").cast("binary").alias("value"))
     for _ in range(2):
-        ingest(rows, store, _folder(spark, "checkpoint"), "events", compact_every=1, once=True).awaitTermination()
+        ingest(rows, store, folder(spark, "checkpoint"), "events", compact_every=1, once=True).awaitTermination()
     return spark.createDataFrame([(store.manifest["last_seq"], store.counters["puts"], store.counters["deletes"])], "last_seq long, puts long, deletes long")

@@ -36,6 +36,16 @@ def stored(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that :func:`stored` gave, once nothing will read it again."""
     spark = df.sparkSession

@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import discard, shared_dir, stored
+from tidemark.sources.shared import discard, folder, shared_dir, stored
 
-__all__ = ["append", "discard", "fresh", "map_texts", "shared_dir", "steps", "stored", "texts_only"]
+__all__ = ["append", "discard", "folder", "fresh", "map_texts", "shared_dir", "steps", "stored", "texts_only"]
 
 #: Bytes of text that one step of a Python worker holds, apart from a single longer row.
 STEP_BYTES = 2 << 20

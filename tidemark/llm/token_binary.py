@@ -17,7 +17,6 @@ bytes while they are coded if the vocabulary has up to 65,536 of them, else four
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_texts, shared_dir, stored, texts_only
+from .common import discard, folder, map_texts, stored, texts_only
 from .token_ids import CALL_BYTES, ended, id_dtype, word_encoder
 
 MAX_BITS, LANE, BLOCK_IDS = 16, 128, 1 << 18
@@ -159,11 +158,13 @@ _BLOCK = "part int, block long, start long, doc_ids array<long>, doc_lens array<
 def write_token_file(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, path: str | None = None, *, plain_specials: bool = False) -> str:
     """Encode ``docs`` and write their ids, below ``vocabulary``, in ascending doc_id order; returns the file's path.
 
+    Without a ``path`` the file goes with the session.
+
     Two passes over the ids, since the code needs all counts first: the ids are stored once, counted,
     range-partitioned by doc_id and coded.
     """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/tidemark/tokens-{uuid.uuid4().hex}"
+    path = path or folder(spark, "tokens")
     encoded = stored(encode_documents(docs, tokenizer, end_id, vocabulary, plain_specials=plain_specials), "ids")
     lengths = code_lengths(token_counts(encoded, vocabulary))
     codes, dtype = canonical_codes(lengths), id_dtype(vocabulary)

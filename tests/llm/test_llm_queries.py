@@ -233,6 +233,26 @@ def test_op7_examples(spark, tables, monkeypatch, piece):
     assert sum(len(r.text) for r in expanded.collect()) == sum(len(chat.format_turn(r.role or "", r.text or "")[0]) for r in turns.collect())
 
 
+@pytest.mark.parametrize("change", [
+    "where not (conv_id = 9 and example = 3)",  # the context of later examples
+    "where not (conv_id = 9 and start = 0)",
+    "start, example, text, target_start - 1 as target_start, target_end from examples",
+    "start, example, text, target_start, target_end - 1 as target_end from examples",
+    "start, example + 1 as example, text, target_start, target_end from examples",
+    "start, example, replace(text, 'said 8 ', 'said 88 ') as text, target_start, target_end from examples",
+])
+def test_op7_reads_whole_examples(spark, change):
+    """Replies alone don't do: an example is read with all of its context."""
+    said = [(9, i, ("user", "assistant", "tool")[i * 7 % 3], f"said {i} </turn>") for i in range(60)]
+    expanded = chat.expand(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).cache()
+    (whole,) = chat.read_back(expanded).collect()
+    assert (whole.n_turns, whole.loss_sha256) == (60, hashlib.sha256("".join(t for _, _, role, t in said if role == "assistant").encode()).hexdigest())
+    query = f"select * from examples {change}" if change.startswith("where") else f"select conv_id, {change}"
+    expanded.createOrReplaceTempView("examples")
+    with pytest.raises(Exception, match="characters of context|isn't its last turn"):
+        chat.read_back(spark.sql(query)).collect()
+
+
 def test_op8(spark, tables, rows):
     got = collect(spark, "op8_toxicity", tables)
     assert len(got) == len(rows)

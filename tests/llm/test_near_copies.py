@@ -148,3 +148,27 @@ def test_groups_of_two_are_found(spark):
         words = prose(rng, 150)
         texts += [" ".join(words), " ".join(edited(rng, words, 0.8, 0.84))]
     assert kept(spark, texts) == slow_kept(texts) == set(range(0, len(texts), 2))
+
+
+def test_links_are_found_by_the_index(spark, monkeypatch):
+    """Groups of two as well as families: where the index finds no pair, there's no link."""
+    texts = families(8)
+    different = len({frozenset(slow_set(t)) for t in texts})
+    assert len(kept(spark, texts)) < different
+    monkeypatch.setattr(simhash, "COPY_BITS", -1)
+    assert len(kept(spark, texts)) == different
+
+
+def test_small_shards_are_indexed_together():
+    """Sets of different shards never link, however alike, and those of one do by fingerprint and similarity."""
+    rng = np.random.default_rng(9)
+    alike, other = rng.integers(0, 1 << 63, 100, np.uint64), rng.integers(0, 1 << 63, 100, np.uint64)
+    sets = [np.unique(x) for x in (alike, alike[:95], alike[:90], other, other[:60])]
+    fps = np.array([simhash.wide_fingerprint(s) for s in sets])
+    links = lambda shard, fps=fps, limit=simhash.COPY_BITS: simhash.exact_links(sets, np.arange(5), fps=fps, shard=np.array(shard), limit=limit)
+    assert links([1, 1, 2, 3, 3]) in ([(0, 1)], [(1, 0)])
+    assert len(links([1, 1, 1, 3, 3])) == 2
+    assert links([1, 2, 3, 4, 4]) == []
+    far = fps.copy()
+    far[1] = ~far[0]
+    assert links([1, 1, 2, 3, 3], far) == []

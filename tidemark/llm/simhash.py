@@ -13,9 +13,10 @@ connected-components loop. A shard of more than HOT_SHARD distinct fingerprints
 bands of the bits that its fingerprints have not yet agreed in, and so on: after LEVELS times all but
 20 bits are settled, so no shard can hold more than 2 ** 20.
 
-Near copies by similarity use the same index over fingerprints of 256 bits. Sets of five-word shingles
-that share a MinHash band are candidates; the index finds those within COPY_BITS of one another, and the
-exact Jaccard similarity of the sets decides.
+Near copies by similarity use the same index over fingerprints of 256 bits, which every text gets of its
+set of five-word shingles. A limit of COPY_BITS in 256 leaves no band of bits that two fingerprints must share, so
+MinHash bands deal them to shards instead. Every pair is found by the index of a shard, and the exact Jaccard
+similarity of the sets then decides.
 
 Rows: a null or empty text has no words and fingerprint zero, which links like any other. Repeated
 rows have equal fingerprints. A row with a null doc_id gets a fingerprint but neither links nor has a
@@ -347,7 +348,7 @@ def shingle_set(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
 #: A pair of similarity J shares a band with the chance 1 - (1 - J ** COPY_ROWS) ** COPY_BANDS: all but
 #: 5 in 10 ** 8 of the pairs at 0.8. Neither number depends on the corpus.
 COPY_BANDS, COPY_ROWS = 32, 4
-#: Texts of a star that go to one task, and sets and their shingles in a task that indexes them, apart from a
+#: Texts of a star that are indexed at a time, and sets and their shingles in a task that indexes them, apart from a
 #: single larger pair. Clusters of more than CLUSTER_BLOCKS halves of a task are indexed by band.
 STAR, TASK_SETS, TASK_SHINGLES, CLUSTER_BLOCKS = 2000, 1000, 1 << 20, 16
 #: Words of the bit sets that a task holds: 64 MB.
@@ -429,77 +430,72 @@ class Overlaps:
         return out
 
 
-def exact_links(sets: list[np.ndarray], label: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+def exact_links(
+    sets: list[np.ndarray], label: np.ndarray, similarity: float = SIMILARITY, fps: np.ndarray | None = None, shard: np.ndarray | None = None, limit: int = COPY_BITS
+) -> list[tuple[int, int]]:
     """Links that join the components of sets by exact Jaccard similarity; sets of equal ``label`` are linked already.
 
-    The Gray-order index over the sets' fingerprints finds the pairs to compare.
+    The Gray-order index over the sets' fingerprints finds the pairs to compare, those of one shard within ``limit`` bits.
     """
     if len(sets) < 2 or not sum(map(len, sets)):
         return []
-    index = GrayIndex(np.array([wide_fingerprint(s) for s in sets]), np.zeros(len(sets), np.int64))
-    up = index.components(COPY_BITS, label, Overlaps(sets, similarity))
+    fps = np.array([wide_fingerprint(s) for s in sets]) if fps is None else fps
+    index = GrayIndex(fps, np.zeros(len(sets), np.int64) if shard is None else shard)
+    up = index.components(limit, label, Overlaps(sets, similarity))
     _, first = np.unique(label, return_index=True)
     return [(i, int(up[i])) for i in first.tolist() if up[i] != i]
 
 
-def _star(similarity: float):
-    """From a task's (key, rep, c, text), sorted by key with the centre of each star first, to links of the centre."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, centre = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            found = []
-            for key, rep, c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                shingles = shingle_set(text or "")
-                if key != own and rep == c:
-                    own, centre = key, shingles
-                elif key == own and rep != c:
-                    common = np.intersect1d(centre, shingles, assume_unique=True).size
-                    if common and common >= similarity * (len(centre) + len(shingles) - common) - 1e-9:
-                        found.append((rep, c))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return run
+def _indexed(similarity: float, limit: int):
+    """From a task's (key, rep, label, fp, text), sorted by key, to links (a, b) of exact similarity within each key.
 
+    Small keys are indexed together, each as a shard of its own.
+    """
 
-def _confirm(similarity: float):
-    """From a task's (key, rep, label, text), sorted by key, to links (a, b) of exact similarity within each key."""
+    def linked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, reps, labels, fps, sets = zip(*held, strict=True)
+        found = exact_links(list(sets), np.array(labels), similarity, np.array(fps, np.int64).view(np.uint64), np.array(keys), limit)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([reps[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for _, members in itertools.groupby(rows, lambda row: row[0]):
-            reps, labels, sets = [], [], []
-            for _, rep, label, text in members:
-                reps.append(rep)
-                labels.append(label)
-                sets.append(shingle_set(text or ""))
-            if found := exact_links(sets, np.array(labels), similarity):
-                yield pa.RecordBatch.from_arrays([pa.array([reps[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        held, total = [], 0
+        for key, rep, label, fp, text in rows:
+            if held and key != held[-1][0] and 4 * max(len(held) / TASK_SETS, total / TASK_SHINGLES) >= 1:
+                yield from linked(held)
+                held, total = [], 0
+            held.append((key, rep, label, fp, shingle_set(text or "")))
+            total += len(held[-1][-1])
+        if held:
+            yield from linked(held)
 
     return run
 
 
 def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) of exact similarity that span the components of sets (rep, name0, name1, size, bands).
+    """Links (a, b) of exact similarity that span the components of sets (rep, name0, name1, size, bands, fp).
 
-    Sets that share a band are candidates. Each is compared first with the least of all that it shares one
-    with, in stars of STAR at most, through which a task streams. Bands that hold different components
-    then are joined to clusters, and clusters are indexed. One that is too large for a task is dealt to blocks
-    at random, and every two blocks meet in a task; one of more than CLUSTER_BLOCKS blocks is indexed by
-    band, in the same way. ``texts`` has (rep, name0, name1, text).
+    Sets that share a band meet in a shard, and the Gray-order index over the fingerprints ``fp`` of each shard
+    finds the pairs. First shards are stars: sets go with the least of all that they share a band with, STAR at
+    a time. Bands that hold different components then are joined to clusters, and clusters are indexed. One that is
+    too large for a task is dealt to blocks at random, and every two blocks meet in a task; one of more than
+    CLUSTER_BLOCKS blocks is indexed by band, in the same way. ``texts`` has (rep, name0, name1, text).
     """
+    index = _indexed(similarity, COPY_BITS)
     entries = distinct.select("rep", F.explode("bands").alias("key"))
     least = entries.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("z")).where("c < z").select("key", "c")
     shared = stored(entries.join(least, "key"), "shared")
     nearest = stored(shared.where("rep <> c").groupBy("rep").agg(F.min("c").alias("c")), "nearest")
     members = nearest.select("rep").union(nearest.select("c")).distinct()
-    told = stored(distinct.select("rep", "name0", "name1", "size").join(members, "rep").join(texts, ["rep", "name0", "name1"]).select("rep", "size", "text"), "candidates")
+    told = stored(distinct.select("rep", "name0", "name1", "size", "fp").join(members, "rep").join(texts, ["rep", "name0", "name1"]).select("rep", "size", "fp", "text"), "candidates")
 
-    parts = nearest.groupBy("c").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    share = F.ceil(F.greatest(F.count("*") / STAR, F.sum("size") / TASK_SHINGLES)).alias("parts")
+    parts = nearest.join(told.select("rep", "size").distinct(), "rep").groupBy("c").agg(share)
     spokes = nearest.join(parts, "c").select("c", F.expr("pmod(xxhash64(rep), parts)").alias("part"), "rep")
     stars = spokes.unionByName(spokes.select("c", "part", F.col("c").alias("rep")).distinct())
-    stars = stars.select(F.xxhash64("c", "part").alias("key"), "c", "rep").join(told.select("rep", "text"), "rep").select("key", "rep", "c", "text")
-    star_links = stored(stars.repartition("key").sortWithinPartitions("key", F.col("rep") != F.col("c")).mapInArrow(_star(similarity), "a long, b long"), "links")
+    stars = stars.select(F.xxhash64("c", "part").alias("key"), "rep").join(told, "rep").select("key", "rep", F.col("rep").alias("label"), "fp", "text")
+    star_links = stored(stars.repartition("key").sortWithinPartitions("key").mapInArrow(index, "a long, b long"), "links")
 
     label = connected(star_links)
     held = shared.join(label, shared.rep == label.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
@@ -523,23 +519,24 @@ def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILA
     dealt = groups.join(groups.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1))
     dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "label")
-    rows = dealt.join(told.select("rep", "text"), "rep").select("key", "rep", "label", "text")
-    return star_links.union(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm(similarity), "a long, b long"))
+    rows = dealt.join(told, "rep").select("key", "rep", "label", "fp", "text")
+    return star_links.union(rows.repartition("key").sortWithinPartitions("key").mapInArrow(index, "a long, b long"))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near copies in ``docs``, that of the smallest doc_id, and all rows without a doc_id.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or
-    more, compared exactly; groups are their components.
+    more: the index over their SimHash fingerprints finds them, and an exact comparison follows. Groups are
+    their components.
     """
-    columns, kinds = ("name0", "name1", "size", "bands"), ("long", "long", "long", "array<long>")
+    columns, kinds = ("name0", "name1", "size", "bands", "fp"), ("long", "long", "long", "array<long>", "array<long>")
     names = [fresh(docs, name) for name in columns]
 
     def make():
         def work(keys, texts):
             sets = [shingle_set(t) for t in texts]
-            made = [(high, low, len(s), bands) for s in sets for high, low, bands in [signature(s)]]
+            made = [(high, low, len(s), bands, wide_fingerprint(s).view(np.int64).tolist()) for s in sets for high, low, bands in [signature(s)]]
             return {name: [m[i] for m in made] for i, name in enumerate(names)}
 
         return work
@@ -547,7 +544,8 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     made = stored(append(docs, make, dict(zip(names, kinds, strict=True))), "signatures")
     own = [F.col(n).alias(c) for n, c in zip(names, columns, strict=True)]
     known = made.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text", *own)
-    distinct = stored(known.groupBy("name0", "name1").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")
+    rest = [F.first(c).alias(c) for c in columns[2:]]
+    distinct = stored(known.groupBy("name0", "name1").agg(F.min("rep").alias("rep"), *rest), "distinct")
     label = connected(copy_links(distinct, known.select("rep", "name0", "name1", "text"), similarity))
     others = label.where("node <> label").select(F.col("node").alias("rep"))
     first = distinct.join(others, "rep", "left_anti").select(F.col("rep").alias("doc_id"), F.col("name0").alias(names[0]), F.col("name1").alias(names[1]))

@@ -172,3 +172,53 @@ def test_small_shards_are_indexed_together():
     far = fps.copy()
     far[1] = ~far[0]
     assert links([1, 1, 2, 3, 3], far) == []
+
+
+def graph(seed):
+    rng = random.Random(seed)
+    chains = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000 - i, 1999 - i) for i in range(40)]
+    return [*chains, *((5000 + rng.randrange(200), 5000 + rng.randrange(200)) for _ in range(150)), (0, 1), (1, 0), (7000, 7000), (-9, 4_000_000_000_000)]
+
+
+@pytest.mark.parametrize("at_hand", [True, False])
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_few_links_and_many_give_the_same_components(spark, monkeypatch, few, at_hand):
+    monkeypatch.setattr(simhash, "FEW_LINKS", few)
+    edges, up = graph(10), {}
+    for a, b in edges:
+        if a != b:
+            up.setdefault(a, a), up.setdefault(b, b)
+    for _ in range(len(edges)):
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    got = simhash.connected(spark.createDataFrame(edges, "a long, b long").repartition(3), at_hand=at_hand)
+    assert got.dtypes == [("node", "bigint"), ("label", "bigint")]
+    got = got.collect()
+    assert {r.node: r.label for r in got} == up and len(got) == len(up)
+    none = simhash.connected(spark.createDataFrame([(3, 3)], "a long, b long"), at_hand=at_hand)
+    assert none.collect() == [] and none.dtypes == [("node", "bigint"), ("label", "bigint")]
+
+
+def test_small_working_tables_take_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are: a file costs a task and, on a local disk, processes beside the JVM."""
+    files, write, texts = {}, simhash.stored, families(11)
+
+    def stored(df, name):
+        out = write(df, name)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert kept(spark, texts) == slow_kept(texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"signatures", "distinct", "shared", "nearest", "candidates", "links"} <= set(files)
+    assert all(set(n) == {1} for name, n in files.items() if name not in ("signatures", "links")), files
+    assert len(files["links"]) <= 2, files  # no rounds of the loop

@@ -9,7 +9,7 @@ soon as the differences so far exceed the limit. What is left at the leaves is c
 
 A shard answers with a forest, one row at most for each of its fingerprints, not with its pairs, and
 groups in which all is linked already are skipped. Forests of all shards meet in a distributed
-connected-components loop. A shard of more than HOT_SHARD distinct fingerprints is dealt out again by
+connected-components loop, or on the driver while they have FEW_LINKS links at most. A shard of more than HOT_SHARD distinct fingerprints is dealt out again by
 bands of the bits that its fingerprints have not yet agreed in, and so on: after LEVELS times all but
 20 bits are settled, so no shard can hold more than 2 ** 20.
 
@@ -40,6 +40,10 @@ LINK_BITS, SHINGLE, SEED = 3, 3, 42
 HOT_SHARD, TASK_ENTRIES, LEVELS = 200_000, 500_000, 4
 #: Up to so many rows of one number are broadcast: 1 MB.
 SMALL = 100_000
+#: Up to so many links (1.6 MB) are joined to components on the driver: a round of the loop costs many tasks and files.
+FEW_LINKS = 100_000
+#: Bytes of rows, by estimate, for each task and file that write a working table.
+FILE_BYTES = 8 << 20
 #: Entries of a leaf, children of a node, and node pairs compared at a time.
 LEAF, FANOUT, FRONTIER = 8, 4, 1 << 16
 
@@ -279,16 +283,37 @@ def _same(x: DataFrame, y: DataFrame) -> bool:
     return x.count() == y.count() and x.join(y, ["a", "b"], "left_anti").isEmpty()
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def _gathered(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows of about ``width`` bytes, in no more tasks and files than that takes."""
+    return df.coalesce(max(1, -(-rows * width // FILE_BYTES)))
+
+
+def _few_connected(edges: DataFrame) -> DataFrame:
+    """What :func:`connected` gives, by the driver: for FEW_LINKS links at most."""
+    found = edges.toArrow()
+    a, b = (found.column(name).to_numpy() for name in ("a", "b"))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = _union(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+    table = pa.table({"node": nodes, "label": nodes[parent]})
+    return stored(edges.sparkSession.createDataFrame(table).coalesce(1), "components")
+
+
+def connected(edges: DataFrame, at_hand: bool = False) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the smallest node of its component.
 
     Large-star and small-star steps in turn until nothing changes. Minima are aggregated before they
     are joined, and the join is salted by the other end of a link, so the links of one node are dealt to
-    several tasks. Every round is written to the shared folder, and the round before is removed.
+    several tasks. Every round is written to the shared folder, and the round before is removed. FEW_LINKS
+    links or fewer are joined on the driver. ``at_hand``: the links are read from a stored table.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    if edges.isEmpty():
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = edges if at_hand else stored(edges, "links")
+    n = edges.count()
+    if not n:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if n <= FEW_LINKS:
+        return _few_connected(edges)
+    edges = stored(edges.distinct(), "links")
     most = edges.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     salts = 8 + most // 50_000
     salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")
@@ -483,12 +508,14 @@ def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILA
     CLUSTER_BLOCKS blocks is indexed by band, in the same way. ``texts`` has (rep, name0, name1, text).
     """
     index = _indexed(similarity, COPY_BITS)
+    n, shingles = distinct.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     entries = distinct.select("rep", F.explode("bands").alias("key"))
     least = entries.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("z")).where("c < z").select("key", "c")
-    shared = stored(entries.join(least, "key"), "shared")
-    nearest = stored(shared.where("rep <> c").groupBy("rep").agg(F.min("c").alias("c")), "nearest")
+    shared = stored(_gathered(entries.join(least, "key"), COPY_BANDS * n, 24), "shared")
+    nearest = stored(_gathered(shared.where("rep <> c").groupBy("rep").agg(F.min("c").alias("c")), n, 16), "nearest")
     members = nearest.select("rep").union(nearest.select("c")).distinct()
-    told = stored(distinct.select("rep", "name0", "name1", "size", "fp").join(members, "rep").join(texts, ["rep", "name0", "name1"]).select("rep", "size", "fp", "text"), "candidates")
+    told = distinct.select("rep", "name0", "name1", "size", "fp").join(members, "rep").join(texts, ["rep", "name0", "name1"]).select("rep", "size", "fp", "text")
+    told = stored(_gathered(told, 8 * shingles + 64 * n, 1), "candidates")  # a word for each shingle
 
     share = F.ceil(F.greatest(F.count("*") / STAR, F.sum("size") / TASK_SHINGLES)).alias("parts")
     parts = nearest.join(told.select("rep", "size").distinct(), "rep").groupBy("c").agg(share)
@@ -497,7 +524,7 @@ def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILA
     stars = stars.select(F.xxhash64("c", "part").alias("key"), "rep").join(told, "rep").select("key", "rep", F.col("rep").alias("label"), "fp", "text")
     star_links = stored(stars.repartition("key").sortWithinPartitions("key").mapInArrow(index, "a long, b long"), "links")
 
-    label = connected(star_links)
+    label = connected(star_links, at_hand=True)
     held = shared.join(label, shared.rep == label.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     open_ = held.groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("rep").alias("c"), F.max("rep").alias("rep"),
@@ -505,17 +532,19 @@ def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILA
     ).where("low < high")
     tried = nearest.select("c", "rep", F.lit(2).cast("long").alias("n"))
     open_ = open_.groupBy("n", "c", "rep", "sum0", "sum1").agg(F.min("key").alias("key")).join(tried, ["c", "rep", "n"], "left_anti")
-    rest = stored(held.join(open_.select("key", "c"), "key"), "rest")  # key, rep, label, c
+    rest = stored(_gathered(held.join(open_.select("key", "c"), "key"), shared.count(), 32), "rest")  # key, rep, label, c
     if rest.isEmpty():
         return star_links
-    cluster = connected(rest.select(F.col("rep").alias("a"), F.col("c").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
-    cluster = stored(cluster.join(told.select("rep", "size").distinct(), "rep"), "clusters")
+    cluster = connected(rest.select(F.col("rep").alias("a"), F.col("c").alias("b")), at_hand=True).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    cluster = stored(_gathered(cluster.join(told.select("rep", "size").distinct(), "rep"), n, 24), "clusters")
     blocks = F.ceil(F.greatest(F.sum("size") / TASK_SHINGLES, F.count("*") / TASK_SETS) * 2).cast("int")
-    large = stored(cluster.groupBy("cluster").agg(blocks.alias("blocks")).where(F.col("blocks") > CLUSTER_BLOCKS).select("cluster"), "large")
+    large = cluster.groupBy("cluster").agg(blocks.alias("blocks")).where(F.col("blocks") > CLUSTER_BLOCKS).select("cluster")
+    large = stored(_gathered(large, n, 8), "large")
     rest = rest.join(cluster, "rep")
     whole = rest.join(large, "cluster", "left_anti").select(F.col("cluster").alias("key"), "rep", "label", "size").distinct()
     by_band = rest.join(large, "cluster", "left_semi").select("key", "rep", "label", "size")
-    groups = stored(whole.select(F.xxhash64(F.lit("cluster"), "key").alias("key"), "rep", "label", "size").unionByName(by_band), "groups")
+    groups = whole.select(F.xxhash64(F.lit("cluster"), "key").alias("key"), "rep", "label", "size").unionByName(by_band)
+    groups = stored(_gathered(groups, rest.count(), 32), "groups")
     dealt = groups.join(groups.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1))
     dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "label")
@@ -545,7 +574,8 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = [F.col(n).alias(c) for n, c in zip(names, columns, strict=True)]
     known = made.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text", *own)
     rest = [F.first(c).alias(c) for c in columns[2:]]
-    distinct = stored(known.groupBy("name0", "name1").agg(F.min("rep").alias("rep"), *rest), "distinct")
+    distinct = known.groupBy("name0", "name1").agg(F.min("rep").alias("rep"), *rest)
+    distinct = stored(_gathered(distinct, made.count(), 8 * (COPY_BANDS + COPY_WORDS + 4)), "distinct")
     label = connected(copy_links(distinct, known.select("rep", "name0", "name1", "text"), similarity))
     others = label.where("node <> label").select(F.col("node").alias("rep"))
     first = distinct.join(others, "rep", "left_anti").select(F.col("rep").alias("doc_id"), F.col("name0").alias(names[0]), F.col("name1").alias(names[1]))

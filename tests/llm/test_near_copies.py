@@ -222,3 +222,29 @@ def test_small_working_tables_take_few_files(spark, monkeypatch):
     assert {"signatures", "distinct", "shared", "nearest", "candidates", "links"} <= set(files)
     assert all(set(n) == {1} for name, n in files.items() if name not in ("signatures", "links")), files
     assert len(files["links"]) <= 2, files  # no rounds of the loop
+
+
+def test_long_words_take_the_files_of_their_bytes(spark, monkeypatch):
+    rng, n, write = random.Random(12), [], simhash.stored
+    texts = []
+    for _ in range(20):
+        words = prose(rng, 100)
+        texts += [" ".join(w + 400 * "x" for w in some) for some in (words, edited(rng, words, 0.8, 0.9))]
+
+    def stored(df, name):
+        out = write(df, name)
+        n.extend([len(out.inputFiles())] * (name == "candidates"))
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    monkeypatch.setattr(simhash, "FILE_BYTES", 100_000)  # as words of a few letters they would fit in one
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert len(kept(spark, texts)) == 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n[0] > 1

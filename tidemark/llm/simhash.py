@@ -499,7 +499,7 @@ def _indexed(similarity: float, limit: int):
 
 
 def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) of exact similarity that span the components of sets (rep, name0, name1, size, bands, fp).
+    """Links (a, b) of exact similarity that span the components of sets (rep, name0, name1, size, bands, fp, bytes).
 
     Sets that share a band meet in a shard, and the Gray-order index over the fingerprints ``fp`` of each shard
     finds the pairs. First shards are stars: sets go with the least of all that they share a band with, STAR at
@@ -508,14 +508,14 @@ def copy_links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILA
     CLUSTER_BLOCKS blocks is indexed by band, in the same way. ``texts`` has (rep, name0, name1, text).
     """
     index = _indexed(similarity, COPY_BITS)
-    n, shingles = distinct.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n, text_bytes = distinct.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     entries = distinct.select("rep", F.explode("bands").alias("key"))
     least = entries.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("z")).where("c < z").select("key", "c")
     shared = stored(_gathered(entries.join(least, "key"), COPY_BANDS * n, 24), "shared")
     nearest = stored(_gathered(shared.where("rep <> c").groupBy("rep").agg(F.min("c").alias("c")), n, 16), "nearest")
     members = nearest.select("rep").union(nearest.select("c")).distinct()
     told = distinct.select("rep", "name0", "name1", "size", "fp").join(members, "rep").join(texts, ["rep", "name0", "name1"]).select("rep", "size", "fp", "text")
-    told = stored(_gathered(told, 8 * shingles + 64 * n, 1), "candidates")  # a word for each shingle
+    told = stored(_gathered(told, text_bytes + 64 * n, 1), "candidates")
 
     share = F.ceil(F.greatest(F.count("*") / STAR, F.sum("size") / TASK_SHINGLES)).alias("parts")
     parts = nearest.join(told.select("rep", "size").distinct(), "rep").groupBy("c").agg(share)
@@ -559,13 +559,14 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more: the index over their SimHash fingerprints finds them, and an exact comparison follows. Groups are
     their components.
     """
-    columns, kinds = ("name0", "name1", "size", "bands", "fp"), ("long", "long", "long", "array<long>", "array<long>")
+    columns, kinds = ("name0", "name1", "size", "bands", "fp", "bytes"), ("long", "long", "long", "array<long>", "array<long>", "long")
     names = [fresh(docs, name) for name in columns]
 
     def make():
         def work(keys, texts):
             sets = [shingle_set(t) for t in texts]
-            made = [(high, low, len(s), bands, wide_fingerprint(s).view(np.int64).tolist()) for s in sets for high, low, bands in [signature(s)]]
+            made = [(*signature(s), len(s), wide_fingerprint(s).view(np.int64).tolist(), len(t.encode())) for s, t in zip(sets, texts, strict=True)]
+            made = [(high, low, size, bands, fp, n) for high, low, bands, size, fp, n in made]
             return {name: [m[i] for m in made] for i, name in enumerate(names)}
 
         return work
@@ -573,9 +574,9 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     made = stored(append(docs, make, dict(zip(names, kinds, strict=True))), "signatures")
     own = [F.col(n).alias(c) for n, c in zip(names, columns, strict=True)]
     known = made.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text", *own)
-    rest = [F.first(c).alias(c) for c in columns[2:]]
+    rest = [*(F.first(c).alias(c) for c in columns[2:-1]), F.max("bytes").alias("bytes")]
     distinct = known.groupBy("name0", "name1").agg(F.min("rep").alias("rep"), *rest)
-    distinct = stored(_gathered(distinct, made.count(), 8 * (COPY_BANDS + COPY_WORDS + 4)), "distinct")
+    distinct = stored(_gathered(distinct, made.count(), 8 * (COPY_BANDS + COPY_WORDS + 5)), "distinct")
     label = connected(copy_links(distinct, known.select("rep", "name0", "name1", "text"), similarity))
     others = label.where("node <> label").select(F.col("node").alias("rep"))
     first = distinct.join(others, "rep", "left_anti").select(F.col("rep").alias("doc_id"), F.col("name0").alias(names[0]), F.col("name1").alias(names[1]))

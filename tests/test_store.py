@@ -155,6 +155,25 @@ def test_pick_follows_the_triggers():
         Options(max_levels=1)
 
 
+def test_a_level_gives_all_it_is_over_by_at_once(spark, tmp_path):
+    own = [{"file_num": i, "level": 1, "size": 100, "min_key": b"%02d" % i, "max_key": b"%02d" % i, "num_entries": 1} for i in range(20)]
+    below = [{"file_num": 50, "level": 2, "size": 1, "min_key": b"17", "max_key": b"18", "num_entries": 1}, {"file_num": 51, "level": 2, "size": 1, "min_key": b"19", "max_key": b"20", "num_entries": 1}]
+    level, inputs, overlaps = files.pick([*own[::-1], *below], Options(l0_compaction_trigger=2, base_level_size=150, max_levels=4))
+    assert (level, [f["file_num"] for f in inputs], [f["file_num"] for f in overlaps]) == (1, list(range(19)), [50])
+    for n in (100, 400):
+        store = Store(spark, str(tmp_path / str(n)), SMALL)
+        for r in range(2):
+            store.put(rows(spark, [(f"k{i:03d}", f"v-{r}-{i}") for i in range(r, n)]))
+            store.flush()
+        assert store.compact_all() <= SMALL.max_levels - 1
+        levels = store.manifest["levels"]
+        assert sum(map(len, levels)) >= n * 25 // SMALL.target_file_size
+        assert all(sum(f["size"] for f in levels[k]) <= SMALL.level_target_size(k) for k in range(SMALL.max_levels - 1))
+        for own in levels[1:]:
+            assert all(a["max_key"] < b["min_key"] for a, b in zip(own, own[1:], strict=False))
+        assert {bytes(r.key).decode(): bytes(r.value).decode() for r in store.live().collect()} == {f"k{i:03d}": f"v-{min(i, 1)}-{i}" for i in range(n)}
+
+
 def test_candidates_by_level(spark):
     rows_ = [(1, 0, 9, b"a", b"m", 1), (2, 0, 9, b"c", b"z", 1), (3, 1, 9, b"a", b"f", 1), (4, 1, 9, b"h", b"k", 1)]
     table = spark.createDataFrame(rows_, "file_num long, level int, size long, min_key binary, max_key binary, num_entries long")

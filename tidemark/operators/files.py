@@ -7,6 +7,7 @@ small by construction; still it is broadcast only below BROADCAST_FILES rows.
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,19 +106,25 @@ def compaction_flags(stats: DataFrame, options: Options) -> DataFrame:
 def pick(files: list[dict], options: Options) -> tuple[int, list[dict], list[dict]] | None:
     """(level, inputs, overlaps) of the next compaction over manifest rows, or None.
 
-    Level 0 goes whole with what it spans of level 1; else the first level over its size gives its file of
-    the lowest key.
+    Level 0 goes whole with what it spans of level 1; else the first level over its size gives its files of the
+    lowest keys, as many as bring it back to its size. So each level is compacted once however many files it is
+    over by, and the number of compactions is bounded by that of levels.
     """
-    of = lambda level: sorted((f for f in files if f["level"] == level), key=lambda f: (f["min_key"], f["file_num"]))
+    levels: dict[int, list[dict]] = {}
+    for f in sorted(files, key=lambda f: (f["min_key"], f["file_num"])):
+        levels.setdefault(f["level"], []).append(f)
 
-    def meeting(level: int, low, high) -> list[dict]:
-        return [f for f in of(level) if f["max_key"] >= low and f["min_key"] <= high]
+    def with_overlaps(level: int, inputs: list[dict]) -> tuple[int, list[dict], list[dict]]:
+        low, high = min(f["min_key"] for f in inputs), max(f["max_key"] for f in inputs)
+        return level, inputs, [f for f in levels.get(level + 1, []) if f["max_key"] >= low and f["min_key"] <= high]
 
-    fresh = of(0)
+    fresh = levels.get(0, [])
     if len(fresh) >= options.l0_compaction_trigger:
-        return 0, fresh, meeting(1, min(f["min_key"] for f in fresh), max(f["max_key"] for f in fresh))
+        return with_overlaps(0, fresh)
     for level in range(1, options.max_levels - 1):
-        own = of(level)
-        if own and sum(f["size"] for f in own) > options.level_target_size(level):
-            return level, own[:1], meeting(level + 1, own[0]["min_key"], own[0]["max_key"])
+        own = levels.get(level, [])
+        over = sum(f["size"] for f in own) - options.level_target_size(level)
+        if over > 0:
+            before = accumulate((f["size"] for f in own), initial=0)  # bytes of the files before each
+            return with_overlaps(level, [f for f, b in zip(own, before, strict=False) if b < over])
     return None

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.errors import Closed, Conflict, CorruptLog, EmptyKey, NotFound
 from tidemark.functions import codec
@@ -255,6 +256,32 @@ def test_tables_are_read_by_range_filter_and_block(spark, tmp_path):
     assert sorted(map(str, split)) == sorted(map(str, got))
 
 
+def test_files_of_any_size_go_in_pieces(spark, tmp_path, monkeypatch):
+    """As many bytes are held of a large file as of a small one; the results are those of files read whole."""
+    rows_ = spark.createDataFrame([(n, f"k{i:05d}".encode(), i, 1 + (i % 9 == 0), b"v" * (i % 50)) for n in (1, 2) for i in range(3000)], "file_num long, key binary, seq long, op int, value binary")
+    want = sorted((bytes(r.key), r.seq, r.op, r.value and bytes(r.value)) for r in rows_.withColumn("value", F.when(F.col("op") == 1, F.col("value"))).drop("file_num").collect())
+    monkeypatch.setattr(binary, "PIECE", 1000)
+    path = str(tmp_path / "small pieces")
+    for encode, suffix in ((binary.encode_logs, "log"), (binary.encode_tables, "sst")):
+        longest, pieces = encode(rows_).agg(F.max(F.octet_length("content")), F.count("*")).first()
+        assert pieces > 200 and longest < 8000  # the filter of a table is its longest piece
+        assert binary.write_files(encode(rows_), path, suffix) == 2
+    values = [codec.Mutation(bytes(r.key), r.seq, r.op, r.value and bytes(r.value)) for r in rows_.where("file_num = 1").orderBy("seq").collect()]
+    assert (tmp_path / "small pieces/000001.log").read_bytes() == b"".join(map(codec.encode_frame, values))
+    assert (tmp_path / "small pieces/000001.sst").read_bytes() == codec.encode_table(values)
+    with (tmp_path / "small pieces/000002.log").open("ab") as log:
+        log.write(b"\x01\x02")
+    asked = spark.createDataFrame([(1, b"k00007"), (2, b"k02999"), (2, b"nothing")], "file_num long, key binary")
+    for limit in (1 << 30, 1000):
+        monkeypatch.setattr(binary, "WHOLE", limit)
+        assert [r.content is None for r in binary._files(spark, path, "log").collect()] == [limit == 1000] * 2
+        for found in (binary.read_logs(spark, path), binary.read_tables(spark, path).drop("file_num")):
+            assert sorted((bytes(r.key), r.seq, r.op, None if r.op == 2 else bytes(r.value or b"")) for r in found.collect()) == [(k, s, o, None if o == 2 else v or b"") for k, s, o, v in want]
+        assert sorted(r.truncated_bytes for r in binary.logs(spark, path).collect()) == [0, 2]
+        assert sorted((r.num_entries, bytes(r.max_key)) for r in binary.table_meta(spark, path).collect()) == [(3000, b"k02999")] * 2
+        assert sorted((r.file_num, r.seq) for r in binary.table_get(spark, path, asked).where("seq is not null").collect()) == [(1, 7), (2, 2999)]
+
+
 def test_files_are_cut_by_bytes(spark):
     rows = spark.createDataFrame([(f"k{i:04d}".encode(), i, 1, b"x" * 100) for i in range(1000)], "key binary, seq long, op int, value binary")
     sizes = [r["count"] for r in binary.by_size(rows, 12_200).groupBy("file_num").count().collect()]

@@ -51,11 +51,17 @@ class Bloom:
 
     def positions(self, keys: list[bytes]) -> np.ndarray:
         """One row of bit positions a key."""
-        first, second = fnv1a(keys)
+        return self._positions(*fnv1a(keys))
+
+    def _positions(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (first[:, None] + np.arange(self.k, dtype=np.uint64) * second[:, None]) % np.uint64(self.m)
 
     def add(self, keys: Iterable[bytes]) -> None:
-        at = self.positions(list(keys)).ravel()
+        self.add_hashes(*fnv1a(list(keys)))
+
+    def add_hashes(self, first: np.ndarray, second: np.ndarray) -> None:
+        """Add keys by what :func:`fnv1a` gives for them."""
+        at = self._positions(first, second).ravel()
         np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
 
     def may_contain(self, keys: Iterable[bytes]) -> np.ndarray:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from tidemark.functions import codec
 from tidemark.operators import compact as compaction
 from tidemark.operators import files, lookup, merge, stats, views
 from tidemark.options import Options
-from tidemark.sources import binary
+from tidemark.sources import binary, manifest
 from tidemark.sources.shared import folder, stored
 from tidemark.sources.store import Store
 
@@ -422,19 +423,18 @@ def _damaged(spark: SparkSession, sf_dir: str, *, corrupt: bool) -> str:
     encoded = binary.encode_logs(views.tiered(_ev(spark, sf_dir)).withColumnRenamed("tenth", "file_num"))
 
     def damage(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            nums, contents = (c.to_pylist() for c in batch.columns)
-            for i, num in enumerate(nums):
-                data = contents[i] + _TAILS.get(num, b"")
-                if num == _BAD_TAIL:
+        pieces = ((num.as_py(), data.as_py()) for batch in batches for num, data in zip(*batch.columns, strict=True))
+        for num, own in groupby(pieces, lambda row: row[0]):
+            tail = _TAILS.get(num, b"")
+            for i, (_, data) in enumerate(own):
+                if i == 0 and num == _BAD_TAIL:
                     frame = codec.read_frame(data, 0)
-                    data += data[: frame.length - 1] + bytes([data[frame.length - 1] ^ 255])
-                if num == _BAD_MIDDLE and corrupt:
+                    tail = data[: frame.length - 1] + bytes([data[frame.length - 1] ^ 255])
+                if i == 0 and num == _BAD_MIDDLE and corrupt:
                     data = data[:12] + bytes([data[12] ^ 1]) + data[13:]
-                contents[i] = data
-            yield pa.RecordBatch.from_arrays([pa.array(nums, pa.int64()), pa.array(contents, pa.binary())], names=["file_num", "content"])
+                yield binary.piece(num, data)
+            if tail:
+                yield binary.piece(num, tail)
 
     binary.write_files(encoded.mapInArrow(damage, "file_num long, content binary"), path, "log")
     return path
@@ -468,8 +468,10 @@ def kv_directory_roundtrip(spark, sf_dir):
     """A directory of binary tables with its manifest, written and read back, logs beside them included."""
     path, ev = folder(spark, "directory"), views.tiered(_ev(spark, sf_dir))
     binary.write_directory(merge.latest(ev.where("tenth < 6").select("key", "seq", "op", "value")), path, Options(target_file_size=LOG_BYTES))
-    # Tombstones go from a lone level; the versions after it come from logs.
-    binary.write_files(binary.encode_logs(ev.where("tenth >= 6").withColumn("file_num", F.col("tenth") + 100)), path, "log")
+    first = manifest.load(manifest.Files(spark, path))["next_file_num"]
+    # Tombstones go from a lone level; the versions after it come from logs, whose numbers follow those of the tables.
+    after = binary.by_size(ev.where("tenth >= 6").select("key", "seq", "op", "value"), LOG_BYTES).withColumn("file_num", F.col("file_num") + first - 1)
+    binary.write_files(binary.encode_logs(after), path, "log")
     found, _ = binary.read_directory(spark, path)
     return _plain(merge.live(found).withColumn("op", F.lit(1))).drop("op")
 

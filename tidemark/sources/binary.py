@@ -2,12 +2,15 @@
 
 Files are read with Spark's ``binaryFile``, so any store that Spark reads will do; each file is parsed
 where it lies, in order, which is all the order that a log needs, as versions are resolved by number.
+Files are written in pieces, and large ones read through a window where pyarrow reaches them (elsewhere
+they come whole), so that a worker holds a few pieces and batches of rows however large a file is.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,22 +27,80 @@ from tidemark.sources import manifest
 _MUTATION = [("key", pa.binary()), ("seq", pa.int64()), ("op", pa.int8()), ("value", pa.binary())]
 _MUTATION_DDL = "key binary, seq long, op byte, value binary"
 ROWS, KEYS_A_TASK = 8192, 100_000
+#: Bytes of a piece that is written or of a window that is read, and of a file that is read whole.
+PIECE, WHOLE = 1 << 18, 4 << 20
 
 
 def _files(spark: SparkSession, path: str | list[str], suffix: str) -> DataFrame:
-    """(file_num, content) of files whose name is a number and a suffix; other names are passed over."""
+    """(file_num, path, content) of files whose name is a number and a suffix; other names are passed over. Files
+    of more than WHOLE bytes that pyarrow reaches have a path, the others content."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path)
     num = F.regexp_extract("path", rf"(\d+)\.{suffix}$", 1)
-    return found.where(num != "").select(num.cast("long").alias("file_num"), "content")
+    named = found.where(num != "")
+    whole = named.select(num.cast("long").alias("file_num"), F.lit(None).cast("string").alias("path"), "content", "length")
+    if not _reached(_uri(spark, path if isinstance(path, str) else path[0])):
+        return whole.drop("length")
+    large = named.where(F.col("length") > WHOLE).select(num.cast("long").alias("file_num"), "path", F.lit(None).cast("binary").alias("content"))
+    return whole.where(F.col("length") <= WHOLE).drop("length").unionByName(large)
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark gives it (a path or a URI such as ``file:/x``) as a URI."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def _store(uri: str) -> tuple:
+    """pyarrow's file system of a URI and the path there."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def _reached(uri: str) -> bool:
+    from pyarrow import fs
+
+    try:
+        store, at = _store(uri)
+        return store.get_file_info(at).type != fs.FileType.NotFound
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+class Pieces:
+    """The bytes of a file by slices, read through a window."""
+
+    def __init__(self, uri: str):
+        store, at = _store(uri)
+        self.file = store.open_input_file(at)
+        self.size, self.at, self.held = self.file.size(), 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, own: slice) -> bytes:
+        low, high, _ = own.indices(self.size)
+        if low < self.at or high > self.at + len(self.held):
+            self.at, self.held = low, self.file.read_at(max(PIECE, high - low), low)
+        return self.held[low - self.at : max(low, high) - self.at]
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes | Pieces]]:
+    """The files of a batch of :func:`_files`, one by one."""
+    for num, path, content in zip(*batch.columns, strict=True):
+        yield num.as_py(), content.as_py() if content.is_valid else Pieces(path.as_py())
 
 
 def _out(columns: list[list], fields: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _split(rows: list[tuple], fields: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rows), ROWS):
-        yield _out([*map(list, zip(*rows[i : i + ROWS], strict=True))], fields)
+def _split(rows: Iterable[tuple], fields: list[tuple]) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while own := list(islice(rows, ROWS)):
+        yield _out([*map(list, zip(*own, strict=True))], fields)
 
 
 def log_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -48,8 +109,8 @@ def log_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for num, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [(num, f.offset, f.length, f.crc, f.status, *(f.mutation or (None,) * 4)) for f in codec.replay(data).frames]
+            for num, data in _opened(batch):
+                rows = ((num, f.offset, f.length, f.crc, f.status, *(f.mutation or (None,) * 4)) for f in codec.until_wrong(data))
                 yield from _split(rows, fields)
 
     return _files(spark, path, "log").mapInArrow(parse, f"file_num long, offset long, frame_len long, crc long, status string, {_MUTATION_DDL}")
@@ -61,8 +122,8 @@ def logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for num, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                r = codec.replay(data)
+            for num, data in _opened(batch):
+                r = codec.replay(data, keep=False)
                 yield _out([[num], [len(data)], [r.good], [r.truncated(len(data))], [r.corrupt]], fields)
 
     return _files(spark, path, "log").mapInArrow(parse, "file_num long, size long, good long, truncated_bytes long, corrupt boolean")
@@ -83,8 +144,8 @@ def read_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for num, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from _split([(num, *m) for m in codec.Table(data).records()], fields)
+            for num, data in _opened(batch):
+                yield from _split(((num, *m) for m in codec.Table(data).records()), fields)
 
     return _files(spark, path, "sst").mapInArrow(parse, f"file_num long, {_MUTATION_DDL}")
 
@@ -95,7 +156,7 @@ def table_meta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for num, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for num, data in _opened(batch):
                 table = codec.Table(data)
                 keys = [m.key for m in table.records(table.index[-1][1] if table.index else 0)]
                 bloom = len(table.bloom.encode()) if table.bloom else 0
@@ -106,7 +167,7 @@ def table_meta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def by_size(mutations: DataFrame, target: int, order: str = "seq") -> DataFrame:
     """``mutations`` with ``file_num`` from 1: ranges of ``order`` of about ``target`` bytes of records each, so
-    that a file, which a task holds whole, stays that size however many there are."""
+    that a file, which one task writes and one reads, stays that size however many there are."""
     total = mutations.agg(F.coalesce(F.sum(record_size()), F.lit(0))).first()[0]
     return mutations.repartitionByRange(max(1, -(-total // target)), order).withColumn("file_num", (F.spark_partition_id() + 1).cast("long"))
 
@@ -116,59 +177,65 @@ def _grouped(mutations: DataFrame, by: str, order: list[str]) -> DataFrame:
     return mutations.select(*cast).repartition("file_num").sortWithinPartitions("file_num", *order)
 
 
-def _encoded(grouped: DataFrame, encode) -> DataFrame:
-    """(file_num, content): ``encode`` makes the bytes of each run of rows of a file."""
+def _encoded(grouped: DataFrame, encode: Callable[[Iterable[Mutation]], Iterator[bytes]]) -> DataFrame:
+    """(file_num, content): ``encode`` makes the bytes of each run of rows of a file, which come as rows of about
+    PIECE bytes, those of a file one after the other in one partition. A piece begins with a record or frame."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = None, []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for num, *m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and num != own:
-                    yield _out([[own], [encode(held)]], [("file_num", pa.int64()), ("content", pa.binary())])
-                    held = []
-                own = num
-                held.append(Mutation(*m))
-        if held:
-            yield _out([[own], [encode(held)]], [("file_num", pa.int64()), ("content", pa.binary())])
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for num, own in groupby(rows(batches), lambda row: row[0]):
+            held, size = [], 0
+            for data in encode(Mutation(*m) for _, *m in own):
+                held.append(data)
+                size += len(data)
+                if size >= PIECE:
+                    yield piece(num, b"".join(held))
+                    held, size = [], 0
+            if held:
+                yield piece(num, b"".join(held))
 
     return grouped.mapInArrow(write, "file_num long, content binary")
 
 
+def piece(num: int, data: bytes) -> pa.RecordBatch:
+    """A row of (file_num, content)."""
+    return _out([[num], [data]], [("file_num", pa.int64()), ("content", pa.binary())])
+
+
 def encode_logs(mutations: DataFrame, by: str = "file_num") -> DataFrame:
-    """(file_num, content) of binary logs, mutations in order of seq. A log is as large as a memtable."""
-    return _encoded(_grouped(mutations, by, ["seq", "key"]), lambda rows: b"".join(map(codec.encode_frame, rows)))
+    """(file_num, content) of binary logs in pieces, mutations in order of seq."""
+    return _encoded(_grouped(mutations, by, ["seq", "key"]), codec.log_pieces)
 
 
 def encode_tables(mutations: DataFrame, by: str = "file_num", block_size: int = 4096, bits_per_key: int = 10) -> DataFrame:
-    """(file_num, content) of sorted tables; each key once in a file."""
-    return _encoded(_grouped(mutations, by, ["key"]), lambda rows: codec.encode_table(rows, block_size, bits_per_key))
+    """(file_num, content) of sorted tables in pieces; each key once in a file."""
+    return _encoded(_grouped(mutations, by, ["key"]), lambda rows: codec.table_pieces(rows, block_size, bits_per_key))
 
 
 def write_files(encoded: DataFrame, path: str, suffix: str) -> int:
     """Write (file_num, content) as ``NNNNNN.suffix`` files into a folder that pyarrow reaches, given as Spark
-    gives it (a path or a URI such as ``file:/x``); returns how many.
+    gives it (a path or a URI such as ``file:/x``); returns how many. Rows of a file that follow each other are its pieces.
 
     Each is written under a temporary name and renamed, so a task that is run again leaves whole files.
     """
-    spark = encoded.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    uri = re.sub(r"^file:/+", "file:///", uri)
+    uri = _uri(encoded.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        from pyarrow import fs
-
-        store, folder = fs.FileSystem.from_uri(uri)
+        store, folder = _store(uri)
         store.create_dir(folder)
-        for batch in batches:
-            for num, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = f"{folder}/.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(part) as out:
+        pieces = ((num.as_py(), data.as_buffer()) for batch in batches for num, data in zip(*batch.columns, strict=True))
+        for num, own in groupby(pieces, lambda row: row[0]):
+            part = f"{folder}/.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(part) as out:
+                for _, data in own:
                     out.write(data)
-                store.move(part, f"{folder}/{num:06d}.{suffix}")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+            store.move(part, f"{folder}/{num:06d}.{suffix}")
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
 
     return encoded.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
@@ -183,24 +250,24 @@ def table_get(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     fields = [("file_num", pa.int64()), ("key", pa.binary()), ("passed", pa.bool_()), *_MUTATION[1:]]
     keys = wanted.select(F.col("file_num").cast("long").alias("file_num"), F.col("key").cast("binary").alias("key"))
     parts = keys.groupBy("file_num").agg(F.ceil(F.count("*") / KEYS_A_TASK).alias("parts"))
-    rows = keys.join(parts, "file_num").select("file_num", F.expr("pmod(xxhash64(key), parts)").alias("part"), "key", F.lit(None).cast("binary").alias("content"))
-    tables = _files(spark, path, "sst").join(parts, "file_num").select("file_num", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("key"), "content")
+    rows = keys.join(parts, "file_num").select("file_num", F.expr("pmod(xxhash64(key), parts)").alias("part"), "key", F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"))
+    tables = _files(spark, path, "sst").join(parts, "file_num").select("file_num", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("key"), "path", "content")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = None, None
         for batch in batches:
-            nums, parts, keys, contents = (c.to_pylist() for c in batch.columns)
+            nums, parts, keys, paths = (c.to_pylist() for c in batch.columns[:4])
             out = []
-            for num, part, key, content in zip(nums, parts, keys, contents, strict=True):
-                if content is not None:
-                    own, table = (num, part), codec.Table(content)
+            for num, part, key, path, content in zip(nums, parts, keys, paths, batch.column(4), strict=True):
+                if key is None:
+                    own, table = (num, part), codec.Table(content.as_py() if path is None else Pieces(path))
                 elif own == (num, part):
                     passed = table.bloom is None or bool(table.bloom.may_contain([key])[0])
                     found = table.get(key) if passed else None
                     out.append((num, key, passed, *(found[1:] if found else (None,) * 3)))
             yield from _split(out, fields)
 
-    dealt = tables.unionByName(rows).repartition("file_num", "part").sortWithinPartitions("file_num", "part", F.col("content").isNull(), "key")
+    dealt = tables.unionByName(rows).repartition("file_num", "part").sortWithinPartitions("file_num", "part", F.col("key").asc_nulls_first())
     return dealt.mapInArrow(look, "file_num long, key binary, passed boolean, seq long, op byte, value binary")
 
 
